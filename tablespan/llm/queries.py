@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, packing, secret_scan
+from . import common, fingerprints, near_dup, packing, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text(F.filter("spans", lambda s: s["kind"] != "literal")), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = near_dup.groups(common.table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
