@@ -45,6 +45,17 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def long_texts(df: DataFrame) -> DataFrame:
+    """Send Python workers few rows at a time: with long texts that bounds their memory.
+
+    A batch size that the session has set itself is left alone.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return df
+
+
 def bucket5(doc_id):
     """crc32 of the id as text, modulo 5: the fold that labels and held-out rows go by."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
