@@ -7,7 +7,7 @@ import os
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -15,34 +15,44 @@ from . import common
 CAPACITY = 1024
 END_ID = 2
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, object] = {}
 
 
-def _tokenizer(path: str):
-    """The vocabulary in both libraries: the ranks give the same ids faster for ordinary Latin text."""
+def _exact(path: str):
     if path not in _LOADED:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _LOADED[path] = Tokenizer.from_file(path)
+    return _LOADED[path]
+
+
+def _ranks(path: str):
+    """The same vocabulary as ranks, whose library finds the same ids faster; None if it has no such file."""
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    if ranks not in _LOADED:
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        slow, fast, ranks = Tokenizer.from_file(path), None, path.removesuffix(".json") + ".tiktoken"
+        _LOADED[ranks] = None
         if os.path.exists(ranks):
             with open(ranks, "rb") as lines:
                 known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-        _LOADED[path] = slow, fast
-    return _LOADED[path]
+            _LOADED[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+    return _LOADED[ranks]
 
 
 def token_ids(text: str, path: str) -> list[int]:
-    """The ids of ``tokenizers`` for this vocabulary, without special tokens added."""
-    slow, fast = _tokenizer(path)
-    # the two libraries may differ on special tokens' strings and newer Unicode classes
-    if fast is None or "<|" in text or not (text.isascii() or max(text) < "ɐ"):
-        return slow.encode(text, add_special_tokens=False).ids
+    """The ids of ``tokenizers`` for this vocabulary, without special tokens added.
+
+    Ordinary Latin text goes through the ranks. Special tokens' strings and
+    other scripts, where the libraries' Unicode classes may differ, do not.
+    """
+    fast = _ranks(path)
+    if fast is None or "<|" in text or not (text.isascii() or max(text) < "\u0250"):
+        return _exact(path).encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 
 
@@ -150,8 +160,6 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         base += times
     schema = "length long, first long, past long, many long, base long, offset0 long"
     places = F.broadcast(spark.createDataFrame(rows, schema))
-    from pyspark.sql import Window
-
     before = per_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).select("length", "task", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = cut.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.join(places, "length").where("rank >= first and rank < past")
@@ -168,6 +176,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool =
     The pieces are written once to the shared folder, so the texts are
     tokenised once.
     """
-    cut = pieces(docs, path, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids"))
+    cut = pieces(common.long_texts(docs), path, capacity, id_col, text_col).withColumn("ids_crc32", F.crc32("ids"))
     cut = common.materialize(cut if keep_ids else cut.drop("ids"))
     return assign(cut, capacity)
