@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, near_dup, packing, quality, secret_scan
+from . import class_lm, common, fingerprints, near_dup, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,16 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = F.coalesce(common.bucket5(F.col("doc_id")) == 1, F.lit(False))
+    model = class_lm.train(docs.where(~held_out))
+    return class_lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 @query
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(common.table(spark, sf_dir, "documents"))
