@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, common, fingerprints, near_dup, packing, quality, secret_scan
+from . import class_lm, common, fingerprints, graph_search, near_dup, packing, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.search(common.table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(common.table(spark, sf_dir, "documents"))
