@@ -78,12 +78,16 @@ def filter_conjunction(spark, sf_dir):
     return engine(spark, sf_dir, "orders", "o_orderkey").filter({"o_orderpriority": "I", "o_orderstatus": "f", "o_custkey": "1"}).df.select("o_orderkey")
 
 
-@query("""select event_id, 'percent' as needle from events where contains(lower(props), '%') union all
-select event_id, 'underscore' as needle from events where contains(lower(props), '_')""")
+@query("""with e as (select event_id, case event_id % 3 when 0 then '100%_x' when 1 then 'a_b' else 'a' || chr(92) || 'b%c' end as mark from events)
+select event_id, needle from e, (values ('%_'), ('_'), ('%'), (chr(92))) t(needle) where contains(mark, needle)""")
 def filter_literal_wildcards(spark, sf_dir):
-    e = engine(spark, sf_dir, "events", "event_id")
-    found = [e.filter({"props": n}).df.select("event_id", F.lit(name).alias("needle")) for n, name in (("%", "percent"), ("_", "underscore"))]
-    return found[0].unionByName(found[1])
+    i = F.col("event_id") % 3
+    events = table(spark, sf_dir, "events").select("event_id", F.when(i == 0, "100%_x").when(i == 1, "a_b").otherwise("a\\b%c").alias("mark"))
+    found = None
+    for n in ("%_", "_", "%", "\\"):
+        part = filters.filter_rows(events, {"mark": n}).select("event_id", F.lit(n).alias("needle"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 @query("select c_custkey from customer")
@@ -96,15 +100,15 @@ def filter_no_match(spark, sf_dir):
     return engine(spark, sf_dir, "customer", "c_custkey").filter_sort({"c_name": "no such name"}, ["c_name"]).df.select("c_custkey", "c_name")
 
 
-@query("select p_partkey, p_type from part where contains(lower(p_type), 'brass')")
+@query("select p_partkey, p_type from part where contains(lower(p_type), 'economy')")
 def filter_single(spark, sf_dir):
-    return engine(spark, sf_dir, "part", "p_partkey").filter_one("p_type", "Brass").df.select("p_partkey", "p_type")
+    return engine(spark, sf_dir, "part", "p_partkey").filter_one("p_type", "Economy").df.select("p_partkey", "p_type")
 
 
-@query("select p_partkey from part where contains(lower(p_type), 'brass') and contains(lower(p_brand), '1')")
+@query("select p_partkey from part where contains(lower(p_type), 'economy') and contains(lower(p_brand), '1')")
 def filter_within_base(spark, sf_dir):
     e = engine(spark, sf_dir, "part", "p_partkey")
-    return e.filter({"p_brand": "1"}, base=e.filter({"p_type": "brass"}).df).df.select("p_partkey")
+    return e.filter({"p_brand": "1"}, base=e.filter({"p_type": "economy"}).df).df.select("p_partkey")
 
 
 @query("select p_partkey, p_name from part where contains(lower(p_name), 'red')")
@@ -114,22 +118,22 @@ def filter_refine(spark, sf_dir):
     return e.filter({"p_name": "red"}).df.select("p_partkey", "p_name")
 
 
-@query("select p_partkey, p_name from part where contains(lower(p_name), 'ee')")
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'ed')")
 def filter_dictionary_search(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return filters.filter_by_dictionary(part, index.dictionary(part, "p_name", "p_partkey"), "p_name", "EE").select("p_partkey", "p_name")
+    return filters.filter_by_dictionary(part, index.dictionary(part, "p_name", "p_partkey"), "p_name", "ED").select("p_partkey", "p_name")
 
 
-@query("select p_partkey as row_id from part where contains(lower(p_brand), '3') and contains(lower(p_type), 'steel')")
+@query("select p_partkey as row_id from part where contains(lower(p_brand), '3') and contains(lower(p_type), 'promo')")
 def filter_postings_intersect(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return index.intersect([index.matching_rows(index.postings(part, c, "p_partkey"), n) for c, n in (("p_brand", "3"), ("p_type", "steel"))])
+    return index.intersect([index.matching_rows(index.postings(part, c, "p_partkey"), n) for c, n in (("p_brand", "3"), ("p_type", "promo"))])
 
 
-@query("select p_partkey as row_id from part where contains(lower(p_brand), '3') or contains(lower(p_type), 'steel')")
+@query("select p_partkey as row_id from part where contains(lower(p_brand), '3') or contains(lower(p_type), 'promo')")
 def filter_postings_union(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return index.union([index.matching_rows(index.postings(part, c, "p_partkey"), n) for c, n in (("p_brand", "3"), ("p_type", "steel"))])
+    return index.union([index.matching_rows(index.postings(part, c, "p_partkey"), n) for c, n in (("p_brand", "3"), ("p_type", "promo"))])
 
 
 @query("""with r as (select *, row_number() over (order by o_orderkey) - 1 as row_id, count(*) over () as n from orders),
@@ -239,10 +243,10 @@ def sort_from_dictionary(spark, sf_dir):
     return index.dense_ranks(table(spark, sf_dir, "part"), "p_type", "p_partkey", case_sensitive=False).select("p_partkey", "rank_asc")
 
 
-@query("""select p_partkey, row_number() over (order by p_size, p_partkey) - 1 as pos from part where contains(lower(p_type), 'tin')""")
+@query("""select p_partkey, row_number() over (order by p_size, p_partkey) - 1 as pos from part where contains(lower(p_type), 'small')""")
 def sort_selected_from_index(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    kept = index.row_numbers(part, "p_size", "p_partkey").join(filters.filter_rows(part, {"p_type": "tin"}), "p_partkey", "left_semi")
+    kept = index.row_numbers(part, "p_size", "p_partkey").join(filters.filter_rows(part, {"p_type": "small"}), "p_partkey", "left_semi")
     return with_positions(kept.select("p_partkey", F.col("pos").alias("_full")), [F.col("_full")]).select("p_partkey", "pos")
 
 
