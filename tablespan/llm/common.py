@@ -45,6 +45,19 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """A frame written to the warehouse, laid out by a key, and its name: joins on the key move the other side only."""
+    spark = df.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"working_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a working table that nothing reads any more."""
+    spark.sql(f"drop table {name}")
+
+
 def long_texts(df: DataFrame) -> DataFrame:
     """Send Python workers few rows at a time: with long texts that bounds their memory.
 

@@ -38,7 +38,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = common.materialize(
         found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     )
-    spark.sql(f"drop table {working}")
+    common.drop_table(spark, working)
     return result
 
 

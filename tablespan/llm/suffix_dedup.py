@@ -20,8 +20,6 @@ cover asks, and about one suffix in 85 is sampled.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -231,6 +229,7 @@ def _sorted_names(batches):
 def _each_window(batches):
     for batch in batches:
         if batch.num_rows:
+            batch = pa.Table.from_batches([batch])
             index, nth, key = _windows(batch)
             start = _unpack(batch.column("at").to_numpy())[0]
             yield pa.record_batch([_long(key), pa.array(batch.column("row").to_numpy()[index]), pa.array(_pack(start[index] + nth, np.ones(len(nth), np.int64), 0)), pa.array(batch.column("open").to_numpy()[index])], names=["key", "row", "at", "open"])
@@ -255,7 +254,7 @@ def _cut(batches):
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> tuple[DataFrame, str]:
     """(id, n_bytes, spans, kept) for every row, and the name of the working table to drop afterwards.
 
     Every byte that a repeated string of LENGTH bytes covers is in a span;
@@ -263,19 +262,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stay within a text, and all rows count, repeated ones too. Null counts as
     empty, texts shorter than LENGTH lose nothing, and null ids stay.
     """
-    spark = docs.sparkSession
     common.long_texts(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"suffix_dedup_{uuid.uuid4().hex}"
     # the texts are dealt out once; each later join with them moves the other side only
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows.repartition(parts, "row").write.bucketBy(parts, "row").option("compression", "zstd").saveAsTable(table)
-    texts = spark.table(table)
+    texts, table = common.bucketed(rows, "row")
 
     counted = texts.select("text").mapInArrow(_classes, "name long, stretch long, n long").repartition("name")
     pairs = counted.groupBy("name", "stretch").agg(F.sum("n").alias("n"))
     totals = pairs.groupBy("name").agg(F.sum("n").alias("total"), F.max(F.col("n") == 1).alias("border")).where("total > 1")
-    live = common.materialize(pairs.join(totals, "name").select("name", "stretch", (F.col("n") > 1).alias("same"), "border", (F.col("total") > CROWD).alias("crowd")))
+    live = common.materialize(pairs.join(totals, "name").select("name", "stretch", (F.col("n") > 1).alias("same"), "border", (F.col("total") > crowd).alias("crowd")))
 
     places = texts.select("row", "text").mapInArrow(_places, "name long, stretch long, row long, at long")
     placed = common.materialize(places.join(live, ["name", "stretch"]))
