@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-NEIGHBOURS = 24
+NEIGHBOURS = 20
 ROUNDS = 3
 PROJECTIONS = 4
 BLOCK = 1024
-POOL = 400
+POOL = 300
 RERANK = 64
 K = 10
 _SLICE = 160
@@ -158,7 +158,8 @@ def build(codes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, projectio
     for turn in range(rounds):
         far = graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n"))
         members = codes.join(far, "node").select(F.col("node").alias("other"), "code", F.when(F.col("n") < k, float("inf")).otherwise(F.col("far")).cast("float").alias("far"))
-        both = graph.select(F.explode(F.array(F.struct(F.col("node").alias("at"), F.col("nb").alias("other"), "fresh"), F.struct(F.col("nb").alias("at"), F.col("node").alias("other"), "fresh"))).alias("e")).select("e.*")
+        ends = F.array(F.struct(F.col("node").alias("at"), F.col("nb").alias("other"), "fresh"), F.struct(F.col("nb").alias("at"), F.col("node").alias("other"), "fresh"))
+        both = graph.select(F.explode(ends).alias("e")).select("e.*").groupBy("at", "other").agg(F.max("fresh").alias("fresh"))
         met = both.join(members, "other").withColumn("salt", F.xxhash64(F.lit(turn), "other"))
         met = met.repartition("at").sortWithinPartitions("at", "salt").select("at", "other", "fresh", "far", "code")
         found = met.mapInArrow(_local_join, _FLAT)
@@ -186,20 +187,29 @@ def adjacency(graph: DataFrame, codes: DataFrame) -> DataFrame:
 _STATE = pa.schema([("query", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("ds", pa.binary()), ("done", pa.binary())])
 
 
+def _measure(batches):
+    """What a frontier node leads to, where the node is: neighbours nearer to the query than its pool's farthest."""
+    for batch in batches:
+        out = []
+        for query, code, limit, nbs, codes in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            width = len(code)
+            d = _squares(_decode([codes[i : i + width] for i in range(0, len(codes), width)]), _decode([code]))[:, 0]
+            near = d < limit
+            out.append((query, np.frombuffer(nbs, np.int64)[near].tobytes(), d[near].astype(np.float32).tobytes()))
+        yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["query", "nbs", "ds"])
+
+
 def _expand(pool: int):
     """Merge what a query's frontier leads to into its pool."""
 
     def run(state: pa.Table, led: pa.Table) -> pa.Table:
         if not state.num_rows:
             return _STATE.empty_table()
-        q = _decode([state["code"][0].as_py()])
-        ids, ds, done = (np.frombuffer(state[c][0].as_py(), t) for c, t in (("ids", np.int64), ("ds", np.float32), ("done", np.bool_)))
-        done = np.ones(len(ids), bool)  # all that was in the pool has been expanded by now
-        width = len(state["code"][0].as_py())
-        for nbs, codes in zip(led["nbs"].to_pylist(), led["codes"].to_pylist()):
-            new = np.frombuffer(nbs, np.int64)
-            raw = [codes[i : i + width] for i in range(0, len(codes), width)]
-            ids, ds, done = np.r_[ids, new], np.r_[ds, _squares(_decode(raw), q)[:, 0]], np.r_[done, np.zeros(len(new), bool)]
+        ids, ds = (np.frombuffer(state[c][0].as_py(), t) for c, t in (("ids", np.int64), ("ds", np.float32)))
+        new = np.frombuffer(b"".join(led["nbs"].to_pylist()), np.int64)
+        # all that was in the pool has been expanded by now
+        done = np.r_[np.ones(len(ids), bool), np.zeros(len(new), bool)]
+        ids, ds = np.r_[ids, new], np.r_[ds, np.frombuffer(b"".join(led["ds"].to_pylist()), np.float32)]
         order = np.lexsort((~done, ids))
         ids, ds, done = ids[order], ds[order], done[order]
         first = np.r_[True, ids[1:] != ids[:-1]]
@@ -210,19 +220,26 @@ def _expand(pool: int):
     return run
 
 
-def _frontier(batches):
-    for batch in batches:
-        queries, nodes = [], []
-        for q, ids, done in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            left = np.frombuffer(ids, np.int64)[~np.frombuffer(done, np.bool_)]
-            queries.append(np.full(len(left), q))
-            nodes.append(left)
-        if queries:
-            yield pa.record_batch([pa.array(np.concatenate(queries), pa.int64()), pa.array(np.concatenate(nodes), pa.int64())], names=["query", "node"])
+def _frontier(pool: int):
+    def run(batches):
+        for batch in batches:
+            out = [[] for _ in range(4)]
+            for q, code, ids, ds, done in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                left = np.frombuffer(ids, np.int64)[~np.frombuffer(done, np.bool_)]
+                ds = np.frombuffer(ds, np.float32)
+                for column, x in zip(out, ([q] * len(left), [code] * len(left), [float(ds[-1]) if len(ds) >= pool else np.inf] * len(left), left.tolist())):
+                    column += x
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.float32(), pa.int64()))], names=["query", "code", "limit", "node"])
+
+    return run
 
 
 def walk(queries: DataFrame, links: DataFrame, pool: int = POOL, rounds: int = 40) -> DataFrame:
-    """(query, ids): the pool of each query node after greedy search, nearest first. queries: (query, code)."""
+    """(query, ids): the pool of each query node after greedy search, nearest first. queries: (query, code).
+
+    The graph stays where it is; the frontier goes to it with the query's code,
+    and only ids and distances that can enter the pool come back.
+    """
     schema = "query long, code binary, ids binary, ds binary, done binary"
 
     def start(batches):
@@ -232,10 +249,10 @@ def walk(queries: DataFrame, links: DataFrame, pool: int = POOL, rounds: int = 4
 
     state = common.checkpoint(queries.mapInArrow(start, schema))
     for _ in range(rounds):
-        frontier = state.select("query", "ids", "done").mapInArrow(_frontier, "query long, node long")
-        if frontier.isEmpty():
+        if state.where(F.contains("done", F.lit(b"\0"))).isEmpty():
             break
-        led = frontier.join(links, "node").select("query", "nbs", "codes")
+        frontier = state.mapInArrow(_frontier(pool), "query long, code binary, limit float, node long")
+        led = frontier.join(links, "node").select("query", "code", "limit", "nbs", "codes").mapInArrow(_measure, "query long, nbs binary, ds binary")
         state = common.checkpoint(state.groupBy("query").cogroup(led.groupBy("query")).applyInArrow(_expand(pool), schema))
     return state.select("query", "ids")
 
@@ -267,11 +284,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_
     members = common.materialize(ranked)
     nodes = members.where("nth = 1").select(F.col("id").alias("node"), "h1", "h2", "vec")
     codes = common.materialize(encoded(nodes, PROJECTIONS))
-    links = common.materialize(adjacency(build(codes, neighbours, rounds), codes))
+    # the graph is laid out by node once; each step of the walk moves the frontier only
+    links, laid_out = common.bucketed(adjacency(build(codes, neighbours, rounds), codes), "node")
     asked = keyed.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "h1", "h2", F.col("vec").alias("q")).dropDuplicates(["query_id", "h1", "h2"])
     asked = asked.join(nodes.select("node", "h1", "h2"), ["h1", "h2"]).select("query_id", "q", F.col("node").alias("rep"))
     starts = asked.select(F.col("rep").alias("node")).distinct().join(codes, "node").select(F.col("node").alias("query"), "code")
-    best = walk(starts, links, pool).mapInArrow(_top(RERANK), "rep long, node long")
+    best = common.checkpoint(walk(starts, links, pool).mapInArrow(_top(RERANK), "rep long, node long"))
+    common.drop_table(vectors.sparkSession, laid_out)
     of_node = members.join(nodes.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "id", "vec")
     square = F.aggregate(F.zip_with("q", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     met = asked.join(best, "rep").join(of_node, "node").where("id <> query_id").withColumn("score", F.sqrt(square))
