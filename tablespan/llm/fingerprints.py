@@ -40,17 +40,20 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def equal_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(fingerprint, canonical text, class_id, copies): one row per text found in a bucket of two or more rows.
 
-    Digests are counted first. Only rows of buckets that hold several rows bring
-    their text along, and those are grouped by digest and text itself, so two
-    texts that share a digest stay apart. The aggregation combines before it
-    shuffles: a bucket with a third of all rows arrives as one row a task.
-    class_id is the smallest id (null if all are null).
+    Rows are grouped by digest and text itself, so two texts that share a digest
+    stay apart. The aggregation combines before it shuffles: a bucket with a
+    third of all rows arrives as one row a task. class_id is the smallest id
+    (null if all are null).
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = rows.select("id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
-    shared = keyed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    inside = keyed.join(shared, "fingerprint", "left_semi")
-    return inside.groupBy("fingerprint", "canon").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    rows = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
+    return rows.groupBy("fingerprint", "canon").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1")
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """Left join of rows with their class; classes are repeated per salt, so the rows of a large class spread."""
+    salted = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", own).join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
 def _range_of(column: Column, bounds: list) -> Column:

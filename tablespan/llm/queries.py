@@ -68,7 +68,7 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(canon(F.col("text")), 256).alias("canon_sha256"),
     )
     classes = fingerprints.equal_classes(docs).select("fingerprint", F.sha2("canon", 256).alias("canon_sha256"), "class_id", "copies")
-    return rows.join(classes, ["fingerprint", "canon_sha256"], "left").select(
+    return fingerprints.join_classes(rows, classes, ["fingerprint", "canon_sha256"]).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
         F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"),
     )
