@@ -99,6 +99,12 @@ def _forest(batches):
         yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "peer"])
 
 
+def _spread(links: DataFrame, least: DataFrame, salts: int = 8) -> DataFrame:
+    """Join links with a value per node; the values are repeated per salt, so a hub's links spread."""
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return links.withColumn("salt", F.pmod(F.xxhash64("peer"), F.lit(salts)).cast("int")).join(salted, ["node", "salt"]).drop("salt")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (two long columns): (node, component), component the smallest node.
 
@@ -115,11 +121,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = links.union(links.select("peer", "node"))
         least = both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("least"))
-        large = both.join(least, "node").where("peer > node").select(F.col("peer").alias("node"), F.col("least").alias("peer")).where("node <> peer").distinct()
+        large = _spread(both, least).where("peer > node").select(F.col("peer").alias("node"), F.col("least").alias("peer")).where("node <> peer").distinct()
         down = large.select(F.greatest("node", "peer").alias("node"), F.least("node", "peer").alias("peer"))
         least = down.groupBy("node").agg(F.min("peer").alias("least"))
         links = checkpoint(
-            down.join(least, "node")
+            _spread(down, least)
             .select(F.explode(F.array(F.struct(F.col("peer").alias("node"), F.col("least").alias("peer")), F.struct("node", F.col("least").alias("peer")))).alias("x"))
             .select("x.node", "x.peer")
             .where("node <> peer")
