@@ -53,6 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each result is written to the shared folder and read again."""
+    common.ship(spark)
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir))

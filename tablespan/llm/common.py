@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they may not have it on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(package)
+    path = os.path.join(tempfile.mkdtemp(), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    out.write(os.path.join(folder, file), os.path.join(name, os.path.relpath(os.path.join(folder, file), package)))
+    context.addPyFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset."""
     context = spark.sparkContext

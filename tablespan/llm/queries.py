@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,15 @@ ORACLES: dict[str, str] = {}
 
 
 def query(run):
-    QUERIES[run.__name__] = run
-    return run
+    """Register a query; the package goes to the workers first."""
+
+    @functools.wraps(run)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return run(spark, sf_dir)
+
+    QUERIES[run.__name__] = shipped
+    return shipped
 
 
 def vocabulary() -> str:
@@ -120,3 +128,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = near_dup.groups(common.table(spark, sf_dir, "documents"))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: The search is approximate; on tables of no more vectors than a block it compares all of them.
+ORACLES["op9_nn_descent_search"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+d as (select q.vec_id as query_id, v.vec_id,
+  sqrt(list_reduce(list_transform(list_zip(q.e, v.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) as score
+  from v q, v where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from d)
+select query_id, rank, vec_id, score from r where rank <= 10"""
