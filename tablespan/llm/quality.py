@@ -192,10 +192,8 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a score of at least the threshold; all columns stay."""
-    return score(docs.withColumn("_id", F.col(id_col)), net, "_id", text_col, docs.columns).where(F.col("score") >= threshold).select(*docs.columns) if "score" not in docs.columns else _keep_clashing(docs, net, threshold, id_col, text_col)
-
-
-def _keep_clashing(docs, net, threshold, id_col, text_col):
-    renamed = docs.withColumnRenamed("score", "_score_in")
-    return keep_good(renamed, net, threshold, id_col, text_col).withColumnRenamed("_score_in", "score")
+    """The documents with a score of at least the threshold; all columns stay, whatever their names."""
+    inner = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    names = dict(zip(docs.columns, inner.columns))
+    scored = score(inner, net, names[id_col], names[text_col], inner.columns)
+    return scored.where(F.col("score") >= threshold).select(*(F.col(names[c]).alias(c) for c in docs.columns))
