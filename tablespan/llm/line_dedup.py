@@ -18,6 +18,7 @@ from . import common
 #: A run of two or more lines is deleted from this many words on, a single line from MIN_LINE_WORDS on.
 MIN_RUN_WORDS = 10
 MIN_LINE_WORDS = 20
+SALTS = 16
 
 
 def _name(*columns: Column | str) -> list[Column]:
@@ -41,11 +42,14 @@ def intervals(named: DataFrame) -> DataFrame:
     """Rows whose name occurs again, with ``later``: whether another row of that name comes before.
 
     Names are counted with a map-side combine, so a line that a third of all
-    rows share reaches the reducer as one row per task.
+    rows share reaches the reducer as one row per task. What is shared is
+    repeated per salt for the join back, which spreads the rows of such a line.
     """
     here = F.struct(F.col("doc").isNull().alias("last"), "doc", "variant", "pos")
     shared = named.groupBy("n1", "n2").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1").drop("n")
-    return named.join(shared, ["n1", "n2"]).withColumn("later", here != F.col("first")).drop("first")
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64("doc", "variant", "pos"), F.lit(SALTS)).cast("int")
+    return named.withColumn("salt", own).join(salted, ["n1", "n2", "salt"]).drop("salt").withColumn("later", here != F.col("first")).drop("first")
 
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = MIN_RUN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
