@@ -27,9 +27,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
     else:
         given = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.create_map(F.lit(""), F.lit(0.0))
         counts = counts.withColumn("weight", F.coalesce(given[F.coalesce("source", F.lit(""))], F.lit(0.0)))
-    total = counts.agg(F.sum("n").alias("n_all"), F.sum("weight").alias("w_all"))
-    share = F.col("weight") / F.col("w_all") * F.col("n_all") / F.col("n")
-    return counts.join(F.broadcast(total), F.lit(True), "left").select("source", F.when(F.col("w_all") > 0, share).otherwise(0.0).alias("rate"))
+    whole = counts.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    if not whole["weight"]:
+        return counts.select("source", F.lit(0.0).alias("rate"))
+    return counts.select("source", (F.col("weight") / F.lit(float(whole["weight"])) * F.lit(float(whole["n"])) / F.col("n")).alias("rate"))
 
 
 def poisson_count(rate, draw):
