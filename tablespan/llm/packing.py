@@ -88,14 +88,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids binary, task int, nth long")
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
+def fullest(counts: dict[int, int], room: int, longest_first: bool = True) -> dict[int, int]:
     """The multiset of available lengths with the largest sum of at most ``room``: {length: how many}.
 
-    Subset sums are bits of one integer. Longer lengths come first, and the scan
-    stops once ``room`` itself is reached.
+    Subset sums are bits of one integer. Lengths are added in order, and the
+    scan stops once ``room`` itself is reached.
     """
     mask, reach, steps = (1 << (room + 1)) - 1, 1, []
-    for length in sorted((x for x in counts if x <= room), reverse=True):
+    for length in sorted((x for x in counts if x <= room), reverse=longest_first):
         left, take = min(counts[length], room // length), 1
         while left > 0:
             take = min(take, left)
@@ -115,19 +115,23 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """[(lengths of a bin, how many such bins)] that use up the histogram.
+    """[(lengths of a bin, how many such bins)] that use up the histogram, by the scan order that needs fewer bins."""
+    return min((_plan(counts, capacity, longest_first) for longest_first in (True, False)), key=lambda bins: sum(n for _, n in bins))
 
-    Each bin takes the longest length left and the fullest combination for the
-    rest. The combination stays the best one until a length runs out, so it is
-    taken as often as it fits: the work depends on the number of different
-    lengths, not of pieces.
+
+def _plan(counts, capacity, longest_first):
+    """Each bin takes the longest length left and the fullest combination for the rest.
+
+    The combination stays the best one until a length runs out, so it is taken
+    as often as it fits: the work depends on the number of different lengths,
+    not of pieces.
     """
     left, bins = {x: n for x, n in counts.items() if n > 0}, []
     while left:
         seed = max(left)
         rest = dict(left)
         rest[seed] -= 1
-        chosen = fullest({x: n for x, n in rest.items() if n}, capacity - seed)
+        chosen = fullest({x: n for x, n in rest.items() if n}, capacity - seed, longest_first)
         chosen[seed] = chosen.get(seed, 0) + 1
         times = min(left[x] // n for x, n in chosen.items())
         bins.append((chosen, times))
