@@ -24,7 +24,7 @@ POOL = 300
 RERANK = 64
 K = 10
 _SLICE = 160
-_FLAT = "node long, nb long, d float, fresh boolean"
+_FLAT = "node long, nb long, d double, fresh boolean"
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -41,23 +41,26 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 def _encode(x: np.ndarray) -> list[bytes]:
     """Half-precision components relative to the largest, which goes before them."""
-    scale = np.abs(x).max(1).astype(np.float32)
+    scale = np.abs(x).max(1)
     half = (x / scale[:, None]).astype(np.float16)
     return [s.tobytes() + h.tobytes() for s, h in zip(scale, half)]
 
 
 def _decode(codes: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    scale = np.ascontiguousarray(raw[:, :4]).view(np.float32)
-    return np.ascontiguousarray(raw[:, 4:]).view(np.float16).astype(np.float32) * scale
+    scale = np.ascontiguousarray(raw[:, :8]).view(np.float64)
+    return np.ascontiguousarray(raw[:, 8:]).view(np.float16).astype(np.float64) * scale
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
+    """Squared distances; what overflows is infinitely far."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    return np.where(np.isnan(d), np.inf, np.maximum(d, 0))
 
 
 def _batch(node, nb, d, fresh):
-    return pa.record_batch([pa.array(node, pa.int64()), pa.array(nb, pa.int64()), pa.array(d, pa.float32()), pa.array(fresh, pa.bool_())], names=["node", "nb", "d", "fresh"])
+    return pa.record_batch([pa.array(node, pa.int64()), pa.array(nb, pa.int64()), pa.array(d, pa.float64()), pa.array(fresh, pa.bool_())], names=["node", "nb", "d", "fresh"])
 
 
 def encoded(distinct: DataFrame, projections: int, seed: int = 5) -> DataFrame:
@@ -82,7 +85,7 @@ def _blocks(k: int, block: int):
     def nearest(node, codes):
         x = _decode(codes)
         d = _squares(x, x)
-        np.fill_diagonal(d, np.inf)
+        np.fill_diagonal(d, np.nan)  # sorts after infinity
         keep = min(k, len(node) - 1)
         if keep < 1:
             return
@@ -157,7 +160,7 @@ def build(codes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, projectio
     graph = common.checkpoint(_nearest(starts, k))
     for turn in range(rounds):
         far = graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n"))
-        members = codes.join(far, "node").select(F.col("node").alias("other"), "code", F.when(F.col("n") < k, float("inf")).otherwise(F.col("far")).cast("float").alias("far"))
+        members = codes.join(far, "node").select(F.col("node").alias("other"), "code", F.when(F.col("n") < k, float("inf")).otherwise(F.col("far")).alias("far"))
         ends = F.array(F.struct(F.col("node").alias("at"), F.col("nb").alias("other"), "fresh"), F.struct(F.col("nb").alias("at"), F.col("node").alias("other"), "fresh"))
         both = graph.select(F.explode(ends).alias("e")).select("e.*").groupBy("at", "other").agg(F.max("fresh").alias("fresh"))
         met = both.join(members, "other").withColumn("salt", F.xxhash64(F.lit(turn), "other"))
@@ -194,8 +197,8 @@ def _measure(batches):
         for query, code, limit, nbs, codes in zip(*(batch.column(c).to_pylist() for c in range(5))):
             width = len(code)
             d = _squares(_decode([codes[i : i + width] for i in range(0, len(codes), width)]), _decode([code]))[:, 0]
-            near = d < limit
-            out.append((query, np.frombuffer(nbs, np.int64)[near].tobytes(), d[near].astype(np.float32).tobytes()))
+            near = (d < limit) | np.isinf(limit)
+            out.append((query, np.frombuffer(nbs, np.int64)[near].tobytes(), d[near].tobytes()))
         yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["query", "nbs", "ds"])
 
 
@@ -205,17 +208,17 @@ def _expand(pool: int):
     def run(state: pa.Table, led: pa.Table) -> pa.Table:
         if not state.num_rows:
             return _STATE.empty_table()
-        ids, ds = (np.frombuffer(state[c][0].as_py(), t) for c, t in (("ids", np.int64), ("ds", np.float32)))
+        ids, ds = (np.frombuffer(state[c][0].as_py(), t) for c, t in (("ids", np.int64), ("ds", np.float64)))
         new = np.frombuffer(b"".join(led["nbs"].to_pylist()), np.int64)
         # all that was in the pool has been expanded by now
         done = np.r_[np.ones(len(ids), bool), np.zeros(len(new), bool)]
-        ids, ds = np.r_[ids, new], np.r_[ds, np.frombuffer(b"".join(led["ds"].to_pylist()), np.float32)]
+        ids, ds = np.r_[ids, new], np.r_[ds, np.frombuffer(b"".join(led["ds"].to_pylist()), np.float64)]
         order = np.lexsort((~done, ids))
         ids, ds, done = ids[order], ds[order], done[order]
         first = np.r_[True, ids[1:] != ids[:-1]]
         ids, ds, done = ids[first], ds[first], done[first]
         top = np.lexsort((ids, ds))[:pool]
-        return pa.Table.from_arrays([state["query"].combine_chunks(), state["code"].combine_chunks(), *(pa.array([a.tobytes()], pa.binary()) for a in (ids[top], ds[top].astype(np.float32), done[top]))], schema=_STATE)
+        return pa.Table.from_arrays([state["query"].combine_chunks(), state["code"].combine_chunks(), *(pa.array([a.tobytes()], pa.binary()) for a in (ids[top], ds[top], done[top]))], schema=_STATE)
 
     return run
 
@@ -226,10 +229,10 @@ def _frontier(pool: int):
             out = [[] for _ in range(4)]
             for q, code, ids, ds, done in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 left = np.frombuffer(ids, np.int64)[~np.frombuffer(done, np.bool_)]
-                ds = np.frombuffer(ds, np.float32)
+                ds = np.frombuffer(ds, np.float64)
                 for column, x in zip(out, ([q] * len(left), [code] * len(left), [float(ds[-1]) if len(ds) >= pool else np.inf] * len(left), left.tolist())):
                     column += x
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.float32(), pa.int64()))], names=["query", "code", "limit", "node"])
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.float64(), pa.int64()))], names=["query", "code", "limit", "node"])
 
     return run
 
@@ -245,13 +248,13 @@ def walk(queries: DataFrame, links: DataFrame, pool: int = POOL, rounds: int = 4
     def start(batches):
         for batch in batches:
             n = batch.num_rows
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([np.int64(q).tobytes() for q in batch.column(0).to_pylist()], pa.binary()), pa.array([np.float32(0).tobytes()] * n, pa.binary()), pa.array([b"\0"] * n, pa.binary())], names=_STATE.names)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([np.int64(q).tobytes() for q in batch.column(0).to_pylist()], pa.binary()), pa.array([np.float64(0).tobytes()] * n, pa.binary()), pa.array([b"\0"] * n, pa.binary())], names=_STATE.names)
 
     state = common.checkpoint(queries.mapInArrow(start, schema))
     for _ in range(rounds):
         if state.where(F.contains("done", F.lit(b"\0"))).isEmpty():
             break
-        frontier = state.mapInArrow(_frontier(pool), "query long, code binary, limit float, node long")
+        frontier = state.mapInArrow(_frontier(pool), "query long, code binary, limit double, node long")
         led = frontier.join(links, "node").select("query", "code", "limit", "nbs", "codes").mapInArrow(_measure, "query long, nbs binary, ds binary")
         state = common.checkpoint(state.groupBy("query").cogroup(led.groupBy("query")).applyInArrow(_expand(pool), schema))
     return state.select("query", "ids")
