@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablespan.engine import EngineOptions, TableEngine
-from tablespan.functions.text import cell_text, display, with_normalised
+from tablespan.functions.numbers import is_finite, is_whole
+from tablespan.functions.text import cell_text, display, number_of, with_normalised
 from tablespan.operators import filters, index, sorting, stats
 from tablespan.plans import planner
 from tablespan.plans.stages import stage, with_positions
 from tablespan.sources import generate, tables
+from tablespan.streaming.filters import filter_stream, run_to_end
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -304,6 +306,12 @@ def index_dense_rank(spark, sf_dir):
     return index.dense_ranks(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey")
 
 
+@query("""select p_partkey, 'p_brand' as column_name, dense_rank() over (order by p_brand) - 1 as rank_asc, dense_rank() over (order by p_brand desc) - 1 as rank_desc from part
+union all select p_partkey, 'p_retailprice', dense_rank() over (order by p_retailprice) - 1, dense_rank() over (order by p_retailprice desc) - 1 from part""")
+def index_rank_columns(spark, sf_dir):
+    return index.rank_columns(table(spark, sf_dir, "part"), ["p_brand", "p_retailprice"], "p_partkey")
+
+
 @query("select o_orderkey, row_number() over (order by o_orderpriority, o_orderkey) - 1 as pos from orders")
 def index_row_number(spark, sf_dir):
     return index.row_numbers(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
@@ -358,8 +366,44 @@ def text_of_numbers(spark, sf_dir):
     return events.select("event_id", cell_text(events, "value").alias("value_text"))
 
 
+@query("""with e as (select event_id, case event_id % 4 when 0 then cast(value as varchar) when 1 then 'n/a' when 2 then null else '-12' end as t from events)
+select event_id, try_cast(t as double) as number, coalesce(try_cast(t as double) = floor(try_cast(t as double)), false) as whole from e""")
+def text_to_number(spark, sf_dir):
+    i = F.col("event_id") % 4
+    text = F.when(i == 0, F.col("value").cast("string")).when(i == 1, "n/a").when(i == 3, "-12")
+    events = table(spark, sf_dir, "events").select("event_id", number_of(text).alias("number"))
+    return events.withColumn("whole", is_whole(F.col("number")))
+
+
+@query("""with e as (select event_id, case when event_id % 5 = 0 then cast('nan' as double) when event_id % 7 = 0 then cast('-infinity' as double)
+when event_id % 11 = 0 then null else value end as v from events)
+select count(*) as n_rows, count(case when isfinite(v) then 1 end) as n_finite, count(case when isnan(v) then 1 end) as n_nan from e""")
+def text_finite_counts(spark, sf_dir):
+    i = F.col("event_id")
+    v = F.when(i % 5 == 0, float("nan")).when(i % 7 == 0, float("-inf")).when(i % 11 == 0, None).otherwise(F.col("value"))
+    events = table(spark, sf_dir, "events").select(v.alias("v"))
+    return events.agg(F.count("*").alias("n_rows"), F.count_if(is_finite(F.col("v"))).alias("n_finite"), F.count_if(F.isnan("v")).alias("n_nan"))
+
+
 # sources and sinks
 
+
+@query("select c_custkey, row_number() over (order by c_name desc, c_custkey) - 1 as row_id from customer")
+def source_row_ids(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    return with_positions(customer, [F.desc("c_name"), F.col("c_custkey")], "row_id").select("c_custkey", "row_id")
+
+
+@query("select event_id, event_type from events where contains(lower(event_type), 'c') and contains(lower(props), '9')")
+def stream_filter(spark, sf_dir):
+    """The same filters on a stream, written exactly once and read back."""
+    stage(spark.range(1))
+    path = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    run_to_end(filter_stream(stream, {"event_type": "C", "props": "9"}).select("event_id", "event_type"), f"{path}/out", f"{path}/state")
+    return spark.read.schema("event_id long, event_type string").parquet(f"{path}/out")
+
 _NAMES = [f"[{', '.join(repr(n) for n in names)}][1 + {at}]" for names, at in ((generate.FIRST_NAMES, "i % 8"), (generate.LAST_NAMES, "(i * 7) % 8"))]
 _RULES = ", ".join(f"((i + 1) * {m} + {a}) % {n} as {c}" for c, (m, a, n) in generate.RULES.items())
 

@@ -100,6 +100,11 @@ def dense_ranks(df: DataFrame, name: str, key: str, case_sensitive: bool = True)
     return rows.join(ranked, F.col("_own").eqNullSafe(F.col("_value"))).select(key, "rank_asc", "rank_desc")
 
 
+def rank_columns(df: DataFrame, names: list[str], key: str) -> DataFrame:
+    """(key, column_name, rank_asc, rank_desc) for several columns, each ranked over its own distinct values."""
+    return reduce(DataFrame.unionByName, (dense_ranks(df, n, key).select(key, F.lit(n).alias("column_name"), "rank_asc", "rank_desc") for n in names))
+
+
 def row_numbers(df: DataFrame, name: str, key: str) -> DataFrame:
     """(key, pos): the sorted index of a column, ascending, ties by key."""
     return with_positions(df.select(key, name), ordering(df, [name], [key], case_sensitive=True)).select(key, "pos")

@@ -19,3 +19,8 @@ def passing_counts(stream: DataFrame, filters: Mapping[str, object], time: str,
     """Passing rows per time window and group; rows later than ``late`` are dropped by the watermark."""
     kept = filter_stream(stream, filters).withWatermark(time, late)
     return kept.groupBy(F.window(time, window).alias("window"), *by).agg(F.count("*").alias("n_rows"))
+
+
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Write what the stream holds now as Parquet, exactly once, and stop."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tablespan import benchmark, cli
 from tablespan.engine import TableEngine
+from tablespan.functions import numbers
 from tablespan.schema import TableSchema, grid_schema, sort_types
 from tablespan.sources import generate, tables
 from tablespan.streaming.filters import filter_stream, passing_counts
@@ -90,3 +91,15 @@ def test_cli(spark, capsys, tmp_path):
     assert cli.main(["--op", "sort", "--sort-mode", "none"], spark) == 1
     assert cli.filters_of("a=1,b= x=y,a=2") == {"a": "2", "b": " x=y"}
     assert cli.main([], spark) == 1
+
+
+def test_number_formats():
+    assert (numbers.format_count(1234567), numbers.format_count(12)) == ("1.234.567", "12")
+    assert numbers.format_ms(0.0123456) == "12.35 ms"
+    assert [numbers.format_bytes(n) for n in (0, 1023, 1024, 5 << 20)] == ["0 B", "1023 B", "1.00 KB", "5.00 MB"]
+
+
+def test_number_rules(spark):
+    df = spark.createDataFrame([(1.0,), (1.5,), (None,), (float("nan"),), (float("-inf"),)], "v double")
+    rows = df.select(numbers.is_finite(F.col("v")).alias("f"), numbers.is_whole(F.col("v")).alias("w")).collect()
+    assert [tuple(r) for r in rows] == [(True, True), (True, False), (False, False), (False, False), (False, False)]
