@@ -141,7 +141,8 @@ def test_gradients_equal_differences():
     def loss():
         features = quality._forward(net, texts)[-1].astype(float)
         z = features @ net.out + net.out_bias
-        return float(np.mean(np.log1p(np.exp(z)) - labels * z))
+        weight = np.where(labels > 0.5, 1.0, quality.ZERO_WEIGHT)
+        return float(np.mean(weight * (np.log1p(np.exp(z)) - labels * z)))
 
     grads = quality._gradients(net, texts, labels)
     for part, grad in zip(net.parts(), grads):
@@ -164,5 +165,5 @@ def test_quality_edges(spark, edges, sf_dir):
     assert kept.columns == edges.columns and kept.count() == len(EDGES)
     assert quality.score(edges.limit(0), net).count() == 0
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (3, None, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
-    assert quality.train(edges, labels).out.shape == (64,)
-    assert quality.train(edges, labels.limit(0)).out.shape == (64,)
+    assert quality.train(edges, labels).out.shape == (2 * quality.FILTERS,)
+    assert quality.train(edges, labels.limit(0)).out.shape == (2 * quality.FILTERS,)
