@@ -24,8 +24,8 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return near_dup.dedup(docs)
+    """One document of each near-duplicate group stays: five-word shingles, similarity of about 0.8 or more."""
+    return near_dup.dedup(docs, similarity=near_dup.SIMILARITY)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ is perfect with covering radius 1, so a point midway between two such halves has
 a code word within 1, and that word is within 1 + 1 of both. Replicating every
 fingerprint to the code words within covering radius plus (half the) threshold,
 at most 16 in each half, therefore brings every linked pair to a common anchor.
+
+By similarity instead of bits, the same anchors lead to candidates: shingle sets
+of Jaccard similarity s make a bit differ with probability arccos(2s / (1 + s)) /
+pi, and further fingerprint words of the same shingles give more halves, one of
+which is close enough with high probability, and more bits to measure by.
 """
 
 from __future__ import annotations
@@ -20,29 +25,55 @@ from . import common
 
 BITS = 4
 WORDS = 4
+#: By similarity: shingles of five words, and so many further fingerprint words.
+SIMILARITY, SIMILAR_WORDS, LANES = 0.8, 5, 6
 SEED = 42
 #: Rows of one anchor that are compared in one place; larger groups are split into blocks.
 BLOCK = 1 << 14
 _SMALL = 64
 
 
-def simhash(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes; no words: 0."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle; fewer words than a shingle has: of all of them; no words: none."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts, width = ends - sizes, min(words, len(parts))
     digest = xxhash.xxh64_intdigest
     last = len(parts) - width + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[width - 1 :].tolist())), np.uint64, last)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[width - 1 :].tolist())), np.uint64, last)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    for lo in range(0, last, 1 << 16):
+    for lo in range(0, len(hashes), 1 << 16):
         part = hashes[lo : lo + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > last, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def simhash(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit fingerprint: a bit is 1 if set in over half of the shingles' hashes; no words: 0."""
+    return _majority(_shingle_hashes(text, words))
+
+
+def wide_simhash(text: str | None, words: int = SIMILAR_WORDS, lanes: int = LANES) -> tuple[int, bytes]:
+    """The fingerprint, and further words of it from remixed hashes of the same shingles."""
+    hashes, more = _shingle_hashes(text, words), []
+    for lane in range(1, lanes + 1):
+        h = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        more.append(_majority(h ^ (h >> np.uint64(31))))
+    return _majority(hashes), np.array(more, "<u8").tobytes()
+
+
+def differing(similarity: float) -> float:
+    """The expected share of differing bits of two shingle sets of this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -56,6 +87,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
+    """(id, fp, wide): the fingerprint and its further words, as in ``wide_simhash``."""
+
+    def scan(batches):
+        for batch in batches:
+            found = [wide_simhash(x, words) for x in batch.column(1).to_pylist()]
+            fps = np.array([f for f, _ in found], np.uint64)
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), pa.array([w for _, w in found], pa.binary())], names=[id_col, "fp", "wide"])
+
+    return common.long_texts(docs).select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long, wide binary")
+
+
 def _flips() -> np.ndarray:
     """For each syndrome the masks that lead from a 31-bit word to the code words within 2."""
     table = np.zeros((32, 16), np.uint64)
@@ -88,6 +131,16 @@ def _replicate(batches):
         yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(fps[at])], names=["anchor", "fp"])
 
 
+def _replicate_wide(batches):
+    """The anchors of every further word, each word with anchors of its own."""
+    for batch in batches:
+        fps = batch.column(0).to_numpy()
+        lanes = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(len(fps), -1)
+        for lane in range(lanes.shape[1]):
+            anchor, at = anchors(np.ascontiguousarray(lanes[:, lane]))
+            yield pa.record_batch([pa.array((anchor | np.uint64(lane << 33)).view(np.int64)), pa.array(fps[at])], names=["anchor", "fp"])
+
+
 def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that connect what is linked in one large group: at most one per fingerprint."""
     left, out = fps.view(np.uint64), []
@@ -175,7 +228,10 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """
     if not 0 <= bits <= 4:
         raise ValueError("the covering is for up to four differing bits")
-    replicas = fps.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    return _linked(fps.select("fp").mapInArrow(_replicate, "anchor long, fp long"), bits, block)
+
+
+def _linked(replicas: DataFrame, bits: int, block: int) -> DataFrame:
     schema = "a long, b long, over boolean"
     judged = common.checkpoint(replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link(bits, 1, block), schema))
     found = judged.where("not over").select("a", "b")
@@ -191,29 +247,62 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     return found.union(more.select("a", "b"))
 
 
-def groups(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_links(printed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between fingerprints (columns fp, wide) of about this similarity or more.
+
+    At a common anchor the fingerprints themselves may differ in the expected
+    number of bits and two standard deviations. What is left is measured on the
+    further words of one text per fingerprint, where half a standard deviation
+    is allowed.
+    """
+    share = differing(similarity)
+    spread = np.sqrt(share * (1 - share))
+    bits = int(64 * share + 2 * 8 * spread)
+    replicas = printed.select("fp", "wide").distinct().mapInArrow(_replicate_wide, "anchor long, fp long")
+    found = _linked(replicas, bits, block).distinct()
+    wide = printed.groupBy("fp").agg(F.min("wide").alias("wide"))
+    pairs = found.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
+
+    def near(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            n = 8 * one.shape[1]
+            keep = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= n * share + 0.5 * np.sqrt(n) * spread
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "wa", "wb").mapInArrow(near, "a long, b long")
+
+
+def groups(docs: DataFrame, bits: int = BITS, words: int | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): near-duplicate groups of documents; component_id is the smallest id reachable.
 
-    Fingerprints are compared once each, however many documents carry one. Null
-    ids never become a component_id while the group has another id. Null and
-    empty texts share the fingerprint 0. Repeated rows give repeated rows.
+    Fingerprints link at ``bits`` or fewer differing bits, or by an estimated
+    ``similarity`` if one is given. They are compared once each, however many
+    documents carry one. Null ids never become a component_id while the group
+    has another id. Null and empty texts share the fingerprint 0. Repeated rows
+    give repeated rows.
     """
-    printed = common.materialize(fingerprints(docs, id_col, text_col, words))
+    if similarity is None:
+        printed = common.materialize(fingerprints(common.long_texts(docs), id_col, text_col, words or WORDS))
+        found = links(printed.select("fp").distinct(), bits)
+    else:
+        printed = common.materialize(wide_fingerprints(docs, id_col, text_col, words or SIMILAR_WORDS))
+        found = similar_links(printed, similarity)
     distinct = printed.groupBy("fp").agg(F.min(id_col).alias("least"))
-    joined = common.components(links(distinct.select("fp"), bits))
+    joined = common.components(found)
     roots = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = roots.join(least, "root").select("fp", "component_id")
     return printed.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def dedup(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, bits: int = BITS, words: int | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each near-duplicate group: the one with the smallest id. All columns stay.
 
     Rows that share an id are one document: one of them stays, if the id is the
     smallest of the smallest group it is in. Rows without an id stay as they are.
     """
-    member = groups(docs, bits, words, id_col, text_col).where(F.col(id_col).isNotNull())
+    member = groups(docs, bits, words, similarity, id_col, text_col).where(F.col(id_col).isNotNull())
     stay = member.groupBy(F.col(id_col).alias("stays")).agg(F.min("component_id").alias("c")).where("c = stays").select("stays")
     kept = docs.join(stay, F.col(id_col) == F.col("stays"), "left_semi").dropDuplicates([id_col])
     return kept.union(docs.where(F.col(id_col).isNull()))
