@@ -86,6 +86,52 @@ def test_anchors_cover():
         assert one & two and len(one) <= 32
 
 
+def jaccard(a, b, n=5):
+    one, two = ({" ".join(w[k : k + n]) for k in range(max(len(w) - n + 1, 1))} for w in (a.split(), b.split()))
+    return len(one & two) / len(one | two)
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for k in rng.choice(len(out), n, replace=False):
+        out[k] = f"new{rng.integers(1 << 30)}"
+    return out
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 8])
+def test_similar_texts_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup.similar_links, "__defaults__", (0.8, block))
+    rng = np.random.default_rng(7)
+    texts, close, far = [], [], []
+    for g in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        texts.append(" ".join(words))
+        for n in (1, 3, 40):
+            texts.append(" ".join(edited(rng, words, n)))
+            (close if jaccard(texts[4 * g], texts[-1]) >= 0.88 else far).append((4 * g, len(texts) - 1))
+    texts += [texts[0]] * 40 + ["", None, "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("wide", F.lit(1))
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.groups(df, similarity=0.8).collect()}
+    assert all(jaccard(texts[a], texts[b]) < 0.5 for a, b in far) and len(close) >= 100
+    assert sum(found[a] == found[b] for a, b in close) >= 0.95 * len(close)
+    assert not any(found[a] == found[b] for a, b in far)
+    assert all(c // 4 == i // 4 for i, c in found.items() if i < 240) and all(found[k] == 0 for k in range(240, 280))
+    assert found[280] == found[281] == 280 and found[282] == 282
+    kept = near_dup.dedup(df, similarity=0.8)
+    assert kept.columns == df.columns and kept.count() == len(set(found.values()))
+
+
+def test_wide_words_are_fingerprints_of_their_own():
+    rng = np.random.default_rng(2)
+    words = [f"w{x}" for x in rng.integers(0, 10_000, 2000)]
+    (fp, one), (_, two) = near_dup.wide_simhash(" ".join(words)), near_dup.wide_simhash(" ".join(edited(rng, words, 60)))
+    assert fp == near_dup.simhash(" ".join(words), near_dup.SIMILAR_WORDS)
+    bits = np.bitwise_count(np.frombuffer(one, np.uint8) ^ np.frombuffer(two, np.uint8)).sum()
+    share = near_dup.differing(jaccard(" ".join(words), " ".join(edited(rng, words, 60))))
+    assert abs(bits / (8 * len(one)) - share) < 0.08
+    assert len(set(np.frombuffer(one, "<u8").tolist()) | {fp}) == near_dup.LANES + 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(300)]
