@@ -91,6 +91,17 @@ def long_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+def neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame under column names that clash with nothing, and the new name of each column."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Back to the columns' own names."""
+    return df.select(*(F.col(inner).alias(name) for name, inner in names.items()))
+
+
 def bucket5(doc_id):
     """crc32 of the id as text, modulo 5: the fold that labels and held-out rows go by."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

@@ -80,21 +80,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     line goes; one that loses none keeps its text byte for byte, null included.
     Of rows that repeat both id and text one stays.
     """
-    windows = runs(docs, id_col, text_col, min_run_words, min_line_words)
+    inner, names = common.neutral(docs)
+    own_id, text = names[id_col], names[text_col]
+    windows = runs(inner, own_id, text, min_run_words, min_line_words)
     gone = (
         windows.select("doc", "variant", F.explode(F.sequence("pos", F.col("pos") + F.col("lines") - 1)).alias("pos"))
         .groupBy("doc", "variant")
         .agg(F.collect_set("pos").alias("gone"))
-        .select(F.col("doc").alias("_doc"), F.col("variant").alias("_variant"), F.col("gone").alias("_gone"))
     )
-    columns = docs.columns
-    keyed = docs.withColumn("_id", F.col(id_col)).withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_variant")), "left")
-    split = F.split(F.col(text_col), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
+    keyed = inner.withColumn("own_variant", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(gone, F.col(own_id).eqNullSafe(F.col("doc")) & (F.col("own_variant") == F.col("variant")), "left")
+    split = F.split(F.col(text), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     kept = F.array_join(F.transform(left, lambda k: F.element_at(split, k + 1)), "\n")
-    joined = joined.withColumn("_left", F.when(F.col("_gone").isNull(), 1).otherwise(F.size(left))).where("_left > 0").dropDuplicates(["_id", "_text_hash"])
-    joined = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
-    return joined.select(*columns)
+    whole = F.col("gone").isNull()
+    joined = joined.withColumn("n_left", F.when(whole, 1).otherwise(F.size(left))).where("n_left > 0").dropDuplicates([own_id, "own_variant"])
+    joined = joined.withColumn(text, F.when(whole, F.col(text)).otherwise(kept))
+    if "n_chars" in names:
+        joined = joined.withColumn(names["n_chars"], F.when(whole, F.col(names["n_chars"])).otherwise(F.length(text).cast("long")))
+    return common.named(joined, names)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SEED = 17
 #: Sources up to this many are broadcast; beyond it the join is salted.
 BROADCAST_SOURCES = 100_000
@@ -49,24 +49,25 @@ def poisson_count(rate, draw):
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step)["n"]).otherwise(0)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", temper: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", temper: float = 0.5) -> DataFrame:
     """Each document as often as a Poisson draw with its source's rate says, in one global random order.
 
     The draw is a hash of seed, id and text, so it does not depend on the
     partitioning; rows that repeat id and text get equal counts. All columns
     stay. Rates above 700 are refused: they would underflow.
     """
-    columns = docs.columns
-    wanted = rates(docs, weights, source_col, temper).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    highest = wanted.agg(F.count("*").alias("n"), F.max("_rate").alias("top")).first()
-    if (highest["top"] or 0.0) > 700 or math.isnan(highest["top"] or 0.0):
+    inner, names = common.neutral(docs)
+    own_id, own_source, text = names[id_col], names[source_col], names[text_col]
+    wanted = rates(inner, weights, own_source, temper)
+    highest = wanted.agg(F.count("*").alias("n"), F.max("rate").alias("top")).first()
+    if not (highest["top"] or 0.0) <= 700:
         raise ValueError("a repetition rate over 700")
     if highest["n"] <= BROADCAST_SOURCES:
-        rated = docs.join(F.broadcast(wanted), F.col(source_col).eqNullSafe(F.col("_source")))
+        rated = inner.join(F.broadcast(wanted), F.col(own_source).eqNullSafe(F.col("source")))
     else:
-        salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = docs.withColumn("_own", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt")))
-    key = [F.lit(seed), F.col(id_col), *([F.col("text")] if "text" in columns else [])]
-    draw = F.shiftrightunsigned(F.xxhash64(*key), 11) * F.lit(_UNIT)
-    copies = rated.withColumn("_n", poisson_count(F.col("_rate"), draw)).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return copies.withColumn("_order", F.xxhash64(F.lit(seed + 1), *key[1:2], "_copy")).orderBy("_order").select(*columns)
+        salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own_salt = F.pmod(F.xxhash64(own_id), F.lit(SALTS)).cast("int")
+        rated = inner.join(salted, F.col(own_source).eqNullSafe(F.col("source")) & (own_salt == F.col("salt")))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), own_id, text), 11) * F.lit(_UNIT)
+    copies = rated.withColumn("n", poisson_count(F.col("rate"), draw)).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return common.named(copies.orderBy(F.xxhash64(F.lit(seed + 1), own_id, "copy")), names)

@@ -302,7 +302,9 @@ def dedup(docs: DataFrame, bits: int = BITS, words: int | None = None, similarit
     Rows that share an id are one document: one of them stays, if the id is the
     smallest of the smallest group it is in. Rows without an id stay as they are.
     """
-    member = groups(docs, bits, words, similarity, id_col, text_col).where(F.col(id_col).isNotNull())
-    stay = member.groupBy(F.col(id_col).alias("stays")).agg(F.min("component_id").alias("c")).where("c = stays").select("stays")
-    kept = docs.join(stay, F.col(id_col) == F.col("stays"), "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    inner, names = common.neutral(docs)
+    own_id = names[id_col]
+    member = groups(inner, bits, words, similarity, own_id, names[text_col]).where(F.col(own_id).isNotNull())
+    stay = member.groupBy(F.col(own_id).alias("stays")).agg(F.min("component_id").alias("c")).where("c = stays").select("stays")
+    kept = inner.join(stay, F.col(own_id) == F.col("stays"), "left_semi").dropDuplicates([own_id])
+    return common.named(kept.union(inner.where(F.col(own_id).isNull())), names)

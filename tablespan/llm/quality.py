@@ -195,7 +195,6 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with a score of at least the threshold; all columns stay, whatever their names."""
-    inner = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
-    names = dict(zip(docs.columns, inner.columns))
+    inner, names = common.neutral(docs)
     scored = score(inner, net, names[id_col], names[text_col], inner.columns)
-    return scored.where(F.col("score") >= threshold).select(*(F.col(names[c]).alias(c) for c in docs.columns))
+    return common.named(scored.where(F.col("score") >= threshold), names)

@@ -143,7 +143,7 @@ def test_components(spark):
 
 def test_dedup_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two three"), (5, "ONE two\tthree"), (5, "ONE two\tthree"), (None, "x y z"), (6, "w " * 50_000), (None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("component_id", F.lit("c"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("fp", "component_id", "stays", "node", "c0")})
     kept = near_dup.dedup(df)
     assert kept.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "6", "None", "None"]
@@ -179,7 +179,7 @@ def test_line_dedup_equals_plain(spark, sf_dir):
 def test_line_dedup_edges(spark):
     long = " ".join(f"w{k}" for k in range(25))
     rows = [(1, f"{long}\na b c d e\nf g h i j\nend"), (2, f"x\na b c d e\nf g h i j\ny\n{long}"), (3, "a b c d e\nz"), (4, None), (5, ""), (6, "\n\n\n\n"), (7, long), (7, long), (None, long + "\nq"), (8, "s t\n" * 20_000), (9, "s t\n" * 300 + "u")]
-    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, pos string, n_chars long")
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, pos string, n_chars long").withColumns({c: F.lit(1) for c in ("doc", "variant", "gone", "n_left", "words")})
     out = line_dedup.dedup(df)
     assert out.columns == df.columns
     found = {r["doc_id"]: r["text"] for r in out.collect()}
@@ -191,22 +191,24 @@ def test_line_dedup_edges(spark):
 def test_mixing_counts(spark):
     sizes = {"a": 6000, "b": 1500, "c": 300}
     rows = [(k, f"t{k}", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(10_000, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_n", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clashing = df.withColumns({c: F.lit(1) for c in ("n", "rate", "copy", "salt")})
+    assert mixing.mix(clashing).columns == clashing.columns
     for weights in (None, {"a": 1.0, "b": 1.0, "c": 1.0}):
-        mixed = mixing.mix(df.drop("_n"), weights)
+        mixed = mixing.mix(df, weights)
         assert mixed.columns == ["doc_id", "text", "source"]
         got = Counter(r["source"] for r in mixed.collect())
         share = {s: n**0.5 if weights is None else 1.0 for s, n in sizes.items()}
         for s in sizes:
             want = sum(sizes.values()) * share[s] / (sum(share.values()) + (1 if weights is None else 0))
             assert abs(got[s] - want) < 6 * (want * max(1.0, want / sizes[s])) ** 0.5 + 60
-    again = sorted(map(str, mixing.mix(df.drop("_n").repartition(7)).collect()))
-    assert again == sorted(map(str, mixing.mix(df.drop("_n")).collect()))
-    order = [r["doc_id"] for r in mixing.mix(df.drop("_n")).collect()]
+    again = sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    assert again == sorted(map(str, mixing.mix(df).collect()))
+    order = [r["doc_id"] for r in mixing.mix(df).collect()]
     assert order != sorted(order)
-    assert mixing.mix(df.drop("_n"), {}).count() == 0 and mixing.mix(df.drop("_n").limit(0)).count() == 0
+    assert mixing.mix(df, {}).count() == 0 and mixing.mix(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        mixing.mix(df.drop("_n"), {"c": 1e9, "a": 1e-9, "b": 0.0}, temper=1.0) if sizes["c"] < 10 else mixing.mix(spark.createDataFrame([(k, "x", "big" if k else "tiny") for k in range(2000)], "doc_id long, text string, source string"), {"tiny": 1.0})
+        mixing.mix(df, {"c": 1e9, "a": 1e-9, "b": 0.0}, temper=1.0) if sizes["c"] < 10 else mixing.mix(spark.createDataFrame([(k, "x", "big" if k else "tiny") for k in range(2000)], "doc_id long, text string, source string"), {"tiny": 1.0})
 
 
 def test_poisson_quantiles(spark):
