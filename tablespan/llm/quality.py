@@ -20,6 +20,7 @@ from . import common
 STEP = 4  #: bytes from one chunk to the next; a chunk is two steps long
 SEGMENT = 128  #: chunks that are pooled together
 EMBED, FILTERS = 8, 48
+PIECE = 512 * SEGMENT * STEP  #: bytes in one go, whole segments
 #: The network is fitted on at most this many labelled documents, whole texts each.
 TRAIN_ROWS = 4000
 EPOCHS, BATCH, RATE = 8, 32, 0.01
@@ -78,14 +79,14 @@ def _forward(net: Network, texts: list[bytes]):
 
 
 def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
-    """The probability of label 1 for each text; texts are handled about a megabyte at a time."""
+    """The probability of label 1 for each text; texts are handled about PIECE bytes at a time."""
     out, lo = np.empty(len(texts)), 0
     while lo < len(texts):
         hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 20):
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= PIECE):
             size += len(texts[hi])
             hi += 1
-        if hi == lo + 1 and size > 1 << 20:
+        if hi == lo + 1 and size > PIECE:
             out[lo] = _long(net, texts[lo])
         else:
             features = _forward(net, texts[lo:hi])[-1]
@@ -96,7 +97,7 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def _long(net: Network, text: bytes) -> float:
     """One very long text, in parts of whole segments: each part also sees the step that follows it."""
-    block, total, top, count = SEGMENT * STEP * 2048, 0.0, 0.0, 0
+    block, total, top, count = PIECE, 0.0, 0.0, 0
     for lo in range(0, len(text), block):
         raw = text[lo : lo + block + STEP]
         steps = max(-(-min(len(raw), block) // STEP), 1)
