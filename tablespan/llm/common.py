@@ -132,6 +132,10 @@ def _forest(batches):
         yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["node", "peer"])
 
 
+#: A dense group's links from many places meet in a few, so that most drop out before the joins.
+FOREST_LINKS = 500_000
+
+
 def _spread(links: DataFrame, least: DataFrame, salts: int = 8) -> DataFrame:
     """Join links with a value per node; the values are repeated per salt, so a hub's links spread."""
     salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -141,13 +145,15 @@ def _spread(links: DataFrame, least: DataFrame, salts: int = 8) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (two long columns): (node, component), component the smallest node.
 
-    Each partition first reduces its links to a spanning forest. Large-star and
-    small-star rounds then run as joins until no link changes; every round is
-    checkpointed. Nodes without links do not appear. Null ends are ignored.
+    Links are first reduced to spanning forests, about FOREST_LINKS in one place.
+    Large-star and small-star rounds then run as joins until no link changes;
+    every round is checkpointed. Nodes without links do not appear. Null ends are ignored.
     """
     a, b = links.columns[:2]
     links = links.select(F.col(a).alias("node"), F.col(b).alias("peer")).where("node is not null and peer is not null and node <> peer")
-    links = checkpoint(links.mapInArrow(_forest, "node long, peer long").distinct())
+    links = checkpoint(links)
+    together = max(1, -(-links.count() // FOREST_LINKS))
+    links = checkpoint(links.coalesce(together).mapInArrow(_forest, "node long, peer long").distinct())
     if links.isEmpty():
         return links.select("node", F.col("peer").alias("component"))
     seen = None

@@ -7,10 +7,10 @@ a code word within 1, and that word is within 1 + 1 of both. Replicating every
 fingerprint to the code words within covering radius plus (half the) threshold,
 at most 16 in each half, therefore brings every linked pair to a common anchor.
 
-By similarity instead of bits, the same anchors lead to candidates: shingle sets
-of Jaccard similarity s make a bit differ with probability arccos(2s / (1 + s)) /
-pi, and further fingerprint words of the same shingles give more halves, one of
-which is close enough with high probability, and more bits to measure by.
+By similarity instead of bits: shingle sets of Jaccard similarity s make a bit
+differ with probability arccos(2s / (1 + s)) / pi. Further fingerprint words of
+the same shingles give more halves, one of which is close enough with high
+probability, and more bits to measure by; those travel with the anchors.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from . import common
 
 BITS = 4
 WORDS = 4
-#: By similarity: shingles of five words, and so many further fingerprint words.
-SIMILARITY, SIMILAR_WORDS, LANES = 0.8, 5, 6
+#: By similarity: shingles of five words; the first MEASURE words of a fingerprint are compared, LANES further ones have anchors.
+SIMILARITY, SIMILAR_WORDS, MEASURE, LANES = 0.8, 5, 3, 4
 SEED = 42
 #: Rows of one anchor that are compared in one place; larger groups are split into blocks.
 BLOCK = 1 << 14
@@ -60,15 +60,16 @@ def simhash(text: str | None, words: int = WORDS) -> int:
     return _majority(_shingle_hashes(text, words))
 
 
-def wide_simhash(text: str | None, words: int = SIMILAR_WORDS, lanes: int = LANES) -> tuple[int, bytes]:
+def wide_simhash(text: str | None, words: int = SIMILAR_WORDS, lanes: int = MEASURE + LANES) -> list[int]:
     """The fingerprint, and further words of it from remixed hashes of the same shingles."""
-    hashes, more = _shingle_hashes(text, words), []
-    for lane in range(1, lanes + 1):
+    hashes = _shingle_hashes(text, words)
+    found = [_majority(hashes)]
+    for lane in range(1, lanes):
         h = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        more.append(_majority(h ^ (h >> np.uint64(31))))
-    return _majority(hashes), np.array(more, "<u8").tobytes()
+        found.append(_majority(h ^ (h >> np.uint64(31))))
+    return found
 
 
 def differing(similarity: float) -> float:
@@ -88,13 +89,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
-    """(id, fp, wide): the fingerprint and its further words, as in ``wide_simhash``."""
+    """(id, fp, wide): the fingerprint, and all its words as in ``wide_simhash``."""
 
     def scan(batches):
         for batch in batches:
-            found = [wide_simhash(x, words) for x in batch.column(1).to_pylist()]
-            fps = np.array([f for f, _ in found], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), pa.array([w for _, w in found], pa.binary())], names=[id_col, "fp", "wide"])
+            found = np.array([wide_simhash(x, words) for x in batch.column(1).to_pylist()], np.uint64).reshape(batch.num_rows, -1)
+            yield pa.record_batch([batch.column(0), pa.array(found[:, 0].copy().view(np.int64)), pa.array([row.tobytes() for row in found], pa.binary())], names=[id_col, "fp", "wide"])
 
     return common.long_texts(docs).select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long, wide binary")
 
@@ -132,50 +132,51 @@ def _replicate(batches):
 
 
 def _replicate_wide(batches):
-    """The anchors of every further word, each word with anchors of its own."""
+    """The anchors of the last LANES words, each word with anchors of its own, with the words to measure by."""
     for batch in batches:
-        fps = batch.column(0).to_numpy()
-        lanes = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(len(fps), -1)
-        for lane in range(lanes.shape[1]):
-            anchor, at = anchors(np.ascontiguousarray(lanes[:, lane]))
-            yield pa.record_batch([pa.array((anchor | np.uint64(lane << 33)).view(np.int64)), pa.array(fps[at])], names=["anchor", "fp"])
+        rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+        for lane in range(MEASURE, rows.shape[1]):
+            anchor, at = anchors(np.ascontiguousarray(rows[:, lane]))
+            columns = [anchor | np.uint64(lane << 33), *(rows[at, k] for k in range(MEASURE))]
+            yield pa.record_batch([pa.array(c.view(np.int64)) for c in columns], names=["anchor", *(f"w{k}" for k in range(MEASURE))])
 
 
-def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked in one large group: at most one per fingerprint."""
-    left, out = fps.view(np.uint64), []
+def _forest(rows: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links (of first words) that connect what is linked in one large group: at most one per fingerprint."""
+    left, out = rows, []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= bits
+            near = np.bitwise_count(left ^ x).sum(1, dtype=np.int64) <= bits
             if near.any():
                 found, left = left[near], left[~near]
-                out += [(x, y) for y in found]
+                out += [(x[0], y[0]) for y in found]
                 queue += list(found)
     return out
 
 
-def links_within(anchor: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
-    """Links (n x 2) among fingerprints of equal anchor; rows sorted by anchor."""
+def links_within(anchor: np.ndarray, rows: np.ndarray, bits: int) -> np.ndarray:
+    """Links (n x 2, of first words) among fingerprints (n x words) of equal anchor; rows sorted by anchor."""
     edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[edge, len(anchor)])
-    found = [np.array(_forest(np.unique(fps[a : a + n]), bits), np.uint64).reshape(-1, 2) for a, n in zip(edge[sizes > _SMALL], sizes[sizes > _SMALL])]
-    at, bare = np.flatnonzero(np.repeat(sizes <= _SMALL, sizes)), fps.view(np.uint64)
+    bare = rows.view(np.uint64)
+    found = [np.array(_forest(np.unique(bare[a : a + n], axis=0), bits), np.uint64).reshape(-1, 2) for a, n in zip(edge[sizes > _SMALL], sizes[sizes > _SMALL])]
+    at = np.flatnonzero(np.repeat(sizes <= _SMALL, sizes))
     for lag in range(1, _SMALL):
         at = at[at + lag < len(anchor)]
         at = at[anchor[at] == anchor[at + lag]]
         if not len(at):
             break
-        near = at[np.bitwise_count(bare[at] ^ bare[at + lag]) <= bits]
-        found.append(np.stack([bare[near], bare[near + lag]], 1))
+        near = at[np.bitwise_count(bare[at] ^ bare[at + lag]).sum(1, dtype=np.int64) <= bits]
+        found.append(np.stack([bare[near, 0], bare[near + lag, 0]], 1))
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.uint64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return np.unique(pairs, axis=0).view(np.int64)
 
 
 def _link(bits: int, keys: int, block: int | None):
-    """Compare sorted (keys..., fp) rows per run of equal keys; runs over ``block`` rows are only reported."""
+    """Compare sorted (keys..., words...) rows per run of equal keys; runs over ``block`` rows are only reported."""
 
     def batch_of(pairs, over):
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), over))], names=["a", "b", "over"])
@@ -183,7 +184,7 @@ def _link(bits: int, keys: int, block: int | None):
     def run(batches):
         held, skipped = None, None
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(keys + 1)], 1)
+            rows = np.stack([column.to_numpy() for column in batch.columns], 1)
             if skipped is not None:
                 rows = rows[(rows[:, :keys] != skipped).any(1)]
             if not len(rows):
@@ -211,7 +212,7 @@ def _link(bits: int, keys: int, block: int | None):
             keep = ~large[run_id]
             rows, run_id = rows[keep], run_id[keep]
         if len(rows):
-            pairs = links_within(run_id, np.ascontiguousarray(rows[:, keys]), bits)
+            pairs = links_within(run_id, np.ascontiguousarray(rows[:, keys:]), bits)
             if len(pairs):
                 yield batch_of(pairs, False)
 
@@ -232,7 +233,8 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
 
 
 def _linked(replicas: DataFrame, bits: int, block: int) -> DataFrame:
-    schema = "a long, b long, over boolean"
+    """Links among replicas (anchor, words...) of an anchor."""
+    schema, words = "a long, b long, over boolean", replicas.columns[1:]
     judged = common.checkpoint(replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link(bits, 1, block), schema))
     found = judged.where("not over").select("a", "b")
     over = judged.where("over").select(F.col("a").alias("anchor")).distinct()
@@ -240,37 +242,23 @@ def _linked(replicas: DataFrame, bits: int, block: int) -> DataFrame:
         return found
     crowded = replicas.join(over, "anchor")
     blocks = crowded.groupBy("anchor").agg(F.ceil(2 * F.count("*") / block).cast("int").alias("n"))
-    dealt = crowded.join(blocks, "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("long"))
-    dealt = dealt.select("anchor", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    dealt = dealt.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    dealt = crowded.join(blocks, "anchor").withColumn("own", F.pmod(F.xxhash64(*words), F.col("n")).cast("long"))
+    dealt = dealt.select("anchor", *words, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    dealt = dealt.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *words)
     more = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_link(bits, 3, None), schema)
     return found.union(more.select("a", "b"))
 
 
 def similar_links(printed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between fingerprints (columns fp, wide) of about this similarity or more.
+    """(a, b): links between fingerprints (column wide: all words) of about this similarity or more.
 
-    At a common anchor the fingerprints themselves may differ in the expected
-    number of bits and two standard deviations. What is left is measured on the
-    further words of one text per fingerprint, where half a standard deviation
-    is allowed.
+    At a common anchor the words to measure by may differ in the expected number
+    of bits and half a standard deviation.
     """
-    share = differing(similarity)
-    spread = np.sqrt(share * (1 - share))
-    bits = int(64 * share + 2 * 8 * spread)
-    replicas = printed.select("fp", "wide").distinct().mapInArrow(_replicate_wide, "anchor long, fp long")
-    found = _linked(replicas, bits, block).distinct()
-    wide = printed.groupBy("fp").agg(F.min("wide").alias("wide"))
-    pairs = found.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
-
-    def near(batches):
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            n = 8 * one.shape[1]
-            keep = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= n * share + 0.5 * np.sqrt(n) * spread
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    return pairs.select("a", "b", "wa", "wb").mapInArrow(near, "a long, b long")
+    share, n = differing(similarity), 64 * MEASURE
+    bits = int(n * share + 0.5 * np.sqrt(n * share * (1 - share)))
+    names = ", ".join(f"w{k} long" for k in range(MEASURE))
+    return _linked(printed.select("wide").distinct().mapInArrow(_replicate_wide, f"anchor long, {names}"), bits, block)
 
 
 def groups(docs: DataFrame, bits: int = BITS, words: int | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
