@@ -52,9 +52,9 @@ def poisson_count(rate, draw):
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", temper: float = 0.5) -> DataFrame:
     """Each document as often as a Poisson draw with its source's rate says, in one global random order.
 
-    The draw is a hash of seed, id and text, so it does not depend on the
-    partitioning; rows that repeat id and text get equal counts. All columns
-    stay. Rates above 700 are refused: they would underflow.
+    The draw is a hash of seed, id and text, so the rows do not depend on the
+    partitioning, only their order does; rows that repeat id and text get equal
+    counts. All columns stay. Rates above 700 are refused: they would underflow.
     """
     inner, names = common.neutral(docs)
     own_id, own_source, text = names[id_col], names[source_col], names[text_col]
@@ -70,4 +70,6 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
         rated = inner.join(salted, F.col(own_source).eqNullSafe(F.col("source")) & (own_salt == F.col("salt")))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), own_id, text), 11) * F.lit(_UNIT)
     copies = rated.withColumn("n", poisson_count(F.col("rate"), draw)).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return common.named(copies.orderBy(F.xxhash64(F.lit(seed + 1), own_id, "copy")), names)
+    # by hash into partitions and by hash within them: random throughout, without a pass to sample ranges
+    shuffled = copies.withColumn("order", F.xxhash64(F.lit(seed + 1), own_id, "copy")).repartition("order").sortWithinPartitions("order")
+    return common.named(shuffled, names)
