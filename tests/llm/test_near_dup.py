@@ -153,20 +153,24 @@ def test_dedup_edges(spark):
 
 
 def plain_line_dedup(rows, min_run=line_dedup.MIN_RUN_WORDS, min_line=line_dedup.MIN_LINE_WORDS):
-    """Every window of 2**k lines, counted as a whole."""
+    """Every window of every length that occurs again, counted as a whole."""
     rows = list(dict.fromkeys((i, t or "") for i, t in rows))
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
     lines = [t.split("\n") for _, t in rows]
+    words = [[len(x.split()) for x in own] for own in lines]
     gone, size = [set() for _ in rows], 1
-    while size <= max(map(len, lines), default=0):
-        first = {}
-        for d, own in enumerate(lines):
-            for k in range(len(own) - size + 1):
-                window = tuple(own[k : k + size])
-                if window in first and sum(len(re.split(r"[\s]+", x.strip())) if x.strip() else 0 for x in window) >= (min_line if size == 1 else min_run):
+    at = [(d, k) for d, own in enumerate(lines) for k in range(len(own))]
+    while at:
+        same = defaultdict(list)
+        for d, k in at:
+            if k + size <= len(lines[d]):
+                same[tuple(lines[d][k : k + size])].append((d, k))
+        at = sorted(x for places in same.values() if len(places) > 1 for x in places)
+        for places in same.values():
+            for d, k in places[1:]:
+                if sum(words[d][k : k + size]) >= (min_line if size == 1 else min_run):
                     gone[d].update(range(k, k + size))
-                first.setdefault(window, (d, k))
-        size *= 2
+        size += 1
     return sorted((str(i), "\n".join(x for k, x in enumerate(own) if k not in g)) for (i, _), own, g in zip(rows, lines, gone) if len(g) < len(own))
 
 
@@ -176,6 +180,16 @@ def test_line_dedup_equals_plain(spark, sf_dir):
     assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup(docs).collect()) == plain_line_dedup(rows)
 
 
+def test_line_dedup_finds_runs_of_any_length(spark):
+    rng = np.random.default_rng(3)
+    kinds = ["", "a b", "c d e", "f", "g h i j", "k l m n o p q r s t u", "v w x y"]
+    rows = [(k, "\n".join(kinds[x] for x in rng.integers(0, len(kinds), 14))) for k in range(40)]
+    rows += [(100, "start\na b c d\ne f g h\ni j k l\nend"), (101, "other\na b c d\ne f g h\ni j k l\nstop"), (102, "\n" * 300 + "one two three four five six seven eight nine ten"), (103, "z\n" + "\n" * 300 + "one two three four five six seven eight nine ten")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.dedup(df).collect())
+    assert found == plain_line_dedup(rows) and ("101", "other\nstop") in found and ("103", "z") in found
+
+
 def test_line_dedup_edges(spark):
     long = " ".join(f"w{k}" for k in range(25))
     rows = [(1, f"{long}\na b c d e\nf g h i j\nend"), (2, f"x\na b c d e\nf g h i j\ny\n{long}"), (3, "a b c d e\nz"), (4, None), (5, ""), (6, "\n\n\n\n"), (7, long), (7, long), (None, long + "\nq"), (8, "s t\n" * 20_000), (9, "s t\n" * 300 + "u")]
