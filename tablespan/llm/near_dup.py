@@ -9,8 +9,10 @@ at most 16 in each half, therefore brings every linked pair to a common anchor.
 
 By similarity instead of bits: shingle sets of Jaccard similarity s make a bit
 differ with probability arccos(2s / (1 + s)) / pi. Further fingerprint words of
-the same shingles give more halves, one of which is close enough with high
-probability, and more bits to measure by; those travel with the anchors.
+the same shingles give more halves and more bits to measure by; those travel
+with the anchors. Not every pair has a close half, so bands of least hashes are
+further anchors: a band of ROWS agrees with probability s ** ROWS. Anchors and
+bits only propose pairs; the distinct shingles of both texts decide.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ BITS = 4
 WORDS = 4
 #: By similarity: shingles of five words; the first MEASURE words of a fingerprint are compared, LANES further ones have anchors.
 SIMILARITY, SIMILAR_WORDS, MEASURE, LANES = 0.8, 5, 3, 4
+#: Bands of least hashes: at similarity 0.8 none of them agrees for 1 pair in 14,000.
+BANDS, ROWS = 24, 5
+#: Pairs are proposed up to this many standard deviations above the expected bits, and are taken as good ones to begin with below it by SURE.
+LAX, SURE = 4.0, 2.0
+#: Pairs of one text that are judged in one place.
+HUB = 256
 SEED = 42
 #: Rows of one anchor that are compared in one place; larger groups are split into blocks.
 BLOCK = 1 << 14
@@ -62,7 +70,10 @@ def simhash(text: str | None, words: int = WORDS) -> int:
 
 def wide_simhash(text: str | None, words: int = SIMILAR_WORDS, lanes: int = MEASURE + LANES) -> list[int]:
     """The fingerprint, and further words of it from remixed hashes of the same shingles."""
-    hashes = _shingle_hashes(text, words)
+    return _wide(_shingle_hashes(text, words), lanes)
+
+
+def _wide(hashes: np.ndarray, lanes: int = MEASURE + LANES) -> list[int]:
     found = [_majority(hashes)]
     for lane in range(1, lanes):
         h = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -72,6 +83,20 @@ def wide_simhash(text: str | None, words: int = SIMILAR_WORDS, lanes: int = MEAS
     return found
 
 
+def bands(distinct: np.ndarray) -> list[int]:
+    """A hash for each band of least hashes of a shingle set; nothing for an empty one: 0."""
+    if not len(distinct):
+        return [0] * BANDS
+    rng = np.random.default_rng(SEED)
+    mask, odd, mix = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(k) for k in (0, 1, 1))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(distinct), 1024):
+        mixed = (distinct[None, lo : lo + 1024] ^ mask[:, None]) * odd[:, None]
+        np.minimum(least, mixed.min(1), out=least)
+    least = (least ^ (least >> np.uint64(32))) * mix
+    return (least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS).sum(1, dtype=np.uint64).tolist()
+
+
 def differing(similarity: float) -> float:
     """The expected share of differing bits of two shingle sets of this Jaccard similarity."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -89,14 +114,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS) -> DataFrame:
-    """(id, fp, wide): the fingerprint, and all its words as in ``wide_simhash``."""
+    """(id, variant, fp, key, wide): a hash of the text, the fingerprint, a digest of the distinct shingles, and all words of the fingerprint and the bands."""
+
+    def row(text):
+        hashes = _shingle_hashes(text, words)
+        distinct = np.unique(hashes)
+        return [*_wide(hashes), *bands(distinct), xxhash.xxh64_intdigest(distinct.tobytes(), SEED)]
 
     def scan(batches):
         for batch in batches:
-            found = np.array([wide_simhash(x, words) for x in batch.column(1).to_pylist()], np.uint64).reshape(batch.num_rows, -1)
-            yield pa.record_batch([batch.column(0), pa.array(found[:, 0].copy().view(np.int64)), pa.array([row.tobytes() for row in found], pa.binary())], names=[id_col, "fp", "wide"])
+            found = np.array([row(x) for x in batch.column(2).to_pylist()], np.uint64).reshape(batch.num_rows, MEASURE + LANES + BANDS + 1)
+            fp, key = (pa.array(found[:, k].copy().view(np.int64)) for k in (0, -1))
+            yield pa.record_batch([batch.column(0), batch.column(1), fp, key, pa.array([x.tobytes() for x in found[:, :-1]], pa.binary())], names=[id_col, "variant", "fp", "key", "wide"])
 
-    return common.long_texts(docs).select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long, wide binary")
+    rows = common.long_texts(docs).select(id_col, F.xxhash64(text_col).alias("variant"), text_col)
+    return rows.mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, variant long, fp long, key long, wide binary")
 
 
 def _flips() -> np.ndarray:
@@ -132,54 +164,67 @@ def _replicate(batches):
 
 
 def _replicate_wide(batches):
-    """The anchors of the last LANES words, each word with anchors of its own, with the words to measure by."""
+    """The anchors of the last LANES words, each word with anchors of its own, and the bands, with the key and the words to measure by."""
     for batch in batches:
-        rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+        key = batch.column(0).to_numpy().view(np.uint64)
+        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
         for lane in range(MEASURE, rows.shape[1]):
-            anchor, at = anchors(np.ascontiguousarray(rows[:, lane]))
-            columns = [anchor | np.uint64(lane << 33), *(rows[at, k] for k in range(MEASURE))]
-            yield pa.record_batch([pa.array(c.view(np.int64)) for c in columns], names=["anchor", *(f"w{k}" for k in range(MEASURE))])
+            if lane < MEASURE + LANES:
+                anchor, at = anchors(np.ascontiguousarray(rows[:, lane]))
+                anchor = anchor | np.uint64(lane << 33)
+            else:
+                anchor, at = rows[:, lane] + np.uint64(lane), np.arange(len(rows))
+            columns = [anchor, key[at], *(rows[at, k] for k in range(MEASURE))]
+            yield pa.record_batch([pa.array(c.view(np.int64)) for c in columns], names=["anchor", "key", *(f"w{k}" for k in range(MEASURE))])
 
 
-def _forest(rows: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links (of first words) that connect what is linked in one large group: at most one per fingerprint."""
+def _forest(rows: np.ndarray, bits: int, sure: int, name: int) -> list[tuple[int, int, bool]]:
+    """Links (of first words) that connect what is linked in one large group: at most one per fingerprint by ``sure`` bits, and all others up to ``bits``."""
     left, out = rows, []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x).sum(1, dtype=np.int64) <= bits
+            far = np.bitwise_count(left[:, name:] ^ x[name:]).sum(1, dtype=np.int64)
+            near = far <= sure
+            out += [(x[0], y[0], False) for y in left[(far <= bits) & ~near]]
             if near.any():
                 found, left = left[near], left[~near]
-                out += [(x[0], y[0]) for y in found]
+                out += [(x[0], y[0], True) for y in found]
                 queue += list(found)
     return out
 
 
-def links_within(anchor: np.ndarray, rows: np.ndarray, bits: int) -> np.ndarray:
-    """Links (n x 2, of first words) among fingerprints (n x words) of equal anchor; rows sorted by anchor."""
+def links_within(anchor: np.ndarray, rows: np.ndarray, bits: int, sure: int | None = None, name: int = 0) -> np.ndarray:
+    """Links (n x 3: first words, and whether by ``sure`` bits) among rows of equal anchor; rows sorted by anchor.
+
+    Rows are fingerprint words, after ``name`` columns that name them.
+    """
+    sure = bits if sure is None else sure
     edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[edge, len(anchor)])
     bare = rows.view(np.uint64)
-    found = [np.array(_forest(np.unique(bare[a : a + n], axis=0), bits), np.uint64).reshape(-1, 2) for a, n in zip(edge[sizes > _SMALL], sizes[sizes > _SMALL])]
+    found = [np.array(_forest(np.unique(bare[a : a + n], axis=0), bits, sure, name), np.uint64).reshape(-1, 3) for a, n in zip(edge[sizes > _SMALL], sizes[sizes > _SMALL])]
     at = np.flatnonzero(np.repeat(sizes <= _SMALL, sizes))
     for lag in range(1, _SMALL):
         at = at[at + lag < len(anchor)]
         at = at[anchor[at] == anchor[at + lag]]
         if not len(at):
             break
-        near = at[np.bitwise_count(bare[at] ^ bare[at + lag]).sum(1, dtype=np.int64) <= bits]
-        found.append(np.stack([bare[near, 0], bare[near + lag, 0]], 1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.uint64)
+        far = np.bitwise_count(bare[at, name:] ^ bare[at + lag, name:]).sum(1, dtype=np.int64)
+        near = at[far <= bits]
+        found.append(np.stack([bare[near, 0], bare[near + lag, 0], (far[far <= bits] <= sure).astype(np.uint64)], 1))
+    pairs = np.concatenate(found) if found else np.empty((0, 3), np.uint64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs[:, :2].sort(axis=1)
     return np.unique(pairs, axis=0).view(np.int64)
 
 
-def _link(bits: int, keys: int, block: int | None):
+def _link(bits: int, keys: int, block: int | None, sure: int | None = None, name: int = 0):
     """Compare sorted (keys..., words...) rows per run of equal keys; runs over ``block`` rows are only reported."""
 
     def batch_of(pairs, over):
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), over))], names=["a", "b", "over"])
+        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] == 1), pa.array(np.full(len(pairs), over))], names=["a", "b", "sure", "over"])
 
     def run(batches):
         held, skipped = None, None
@@ -196,7 +241,7 @@ def _link(bits: int, keys: int, block: int | None):
             held = rows[cut:]
             if block is not None and len(held) > block:
                 skipped = held[0, :keys].copy()
-                yield batch_of(np.array([[skipped[0], 0]]), True)
+                yield batch_of(np.array([[skipped[0], 0, 0]]), True)
                 held = None
         if held is not None:
             yield from judged(held)
@@ -208,11 +253,11 @@ def _link(bits: int, keys: int, block: int | None):
         sizes = np.bincount(run_id)
         if block is not None and (large := sizes > block).any():
             heads = rows[np.flatnonzero(np.r_[True, np.diff(run_id) > 0])[large], 0]
-            yield batch_of(np.stack([heads, np.zeros_like(heads)], 1), True)
+            yield batch_of(np.stack([heads, np.zeros_like(heads), np.zeros_like(heads)], 1), True)
             keep = ~large[run_id]
             rows, run_id = rows[keep], run_id[keep]
         if len(rows):
-            pairs = links_within(run_id, np.ascontiguousarray(rows[:, keys:]), bits)
+            pairs = links_within(run_id, np.ascontiguousarray(rows[:, keys:]), bits, sure, name)
             if len(pairs):
                 yield batch_of(pairs, False)
 
@@ -229,14 +274,14 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """
     if not 0 <= bits <= 4:
         raise ValueError("the covering is for up to four differing bits")
-    return _linked(fps.select("fp").mapInArrow(_replicate, "anchor long, fp long"), bits, block)
+    return _linked(fps.select("fp").mapInArrow(_replicate, "anchor long, fp long"), bits, block).select("a", "b")
 
 
-def _linked(replicas: DataFrame, bits: int, block: int) -> DataFrame:
-    """Links among replicas (anchor, words...) of an anchor."""
-    schema, words = "a long, b long, over boolean", replicas.columns[1:]
-    judged = common.checkpoint(replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link(bits, 1, block), schema))
-    found = judged.where("not over").select("a", "b")
+def _linked(replicas: DataFrame, bits: int, block: int, sure: int | None = None, name: int = 0) -> DataFrame:
+    """(a, b, sure): links among replicas (anchor, words...) of an anchor."""
+    schema, words = "a long, b long, sure boolean, over boolean", replicas.columns[1:]
+    judged = common.checkpoint(replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link(bits, 1, block, sure, name), schema))
+    found = judged.where("not over").select("a", "b", "sure")
     over = judged.where("over").select(F.col("a").alias("anchor")).distinct()
     if over.isEmpty():
         return found
@@ -245,43 +290,123 @@ def _linked(replicas: DataFrame, bits: int, block: int) -> DataFrame:
     dealt = crowded.join(blocks, "anchor").withColumn("own", F.pmod(F.xxhash64(*words), F.col("n")).cast("long"))
     dealt = dealt.select("anchor", *words, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     dealt = dealt.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *words)
-    more = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_link(bits, 3, None), schema)
-    return found.union(more.select("a", "b"))
+    more = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_link(bits, 3, None, sure, name), schema)
+    return found.union(more.select("a", "b", "sure"))
 
 
 def similar_links(printed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between fingerprints (column wide: all words) of about this similarity or more.
+    """(a, b, sure): pairs of keys (printed: key, wide) that may have this similarity or more; sure if they hardly have less.
 
     At a common anchor the words to measure by may differ in the expected number
-    of bits and half a standard deviation.
+    of bits and LAX standard deviations.
     """
     share, n = differing(similarity), 64 * MEASURE
-    bits = int(n * share + 0.5 * np.sqrt(n * share * (1 - share)))
+    spread = np.sqrt(n * share * (1 - share))
     names = ", ".join(f"w{k} long" for k in range(MEASURE))
-    return _linked(printed.select("wide").distinct().mapInArrow(_replicate_wide, f"anchor long, {names}"), bits, block)
+    replicas = printed.groupBy("key").agg(F.min("wide").alias("wide")).mapInArrow(_replicate_wide, f"anchor long, key long, {names}")
+    return _linked(replicas, int(n * share + LAX * spread), block, int(n * share - SURE * spread), 1)
+
+
+def _spanning(batches):
+    """Of the pairs of one partition, those that connect what is not connected yet."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        keep = []
+        for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            a, b = root(a), root(b)
+            keep += [k] if a != b else []
+            parent[a] = b
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def _share(similarity: float):
+    """The pairs whose sets of shingles have this Jaccard similarity or more."""
+
+    def run(batches):
+        for batch in batches:
+            sets = (batch.column(c).to_pylist() for c in ("one", "two"))
+            keep = []
+            for k, (one, two) in enumerate(zip(*(map(lambda x: np.frombuffer(x, np.uint64), c) for c in sets))):
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if both >= similarity * (len(one) + len(two) - both) - 1e-9:
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def exact(pairs: DataFrame, printed: DataFrame, docs: DataFrame, similarity: float, text_col: str, words: int = SIMILAR_WORDS) -> DataFrame:
+    """The pairs (a, b) of keys whose distinct shingles have this Jaccard similarity or more.
+
+    Only texts that are in a pair are read, once each. A text with over HUB pairs is dealt out.
+    """
+
+    def shingles(batches):
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(x, words)).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["key", "grams"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.ceil(F.count("*") / HUB).alias("places"))
+    ends = common.checkpoint(ends)
+    wanted = printed.select("key", "variant").join(ends, "key").groupBy("key").agg(F.min("variant").alias("variant"))
+    texts = docs.select(F.xxhash64(text_col).alias("variant"), F.col(text_col).alias("text")).join(wanted, "variant").groupBy("key").agg(F.min("text").alias("text"))
+    sets = common.materialize(common.long_texts(texts).mapInArrow(shingles, "key long, grams binary"))
+    dealt = sets.join(ends, "key").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1))).drop("places")
+    hubs = F.broadcast(ends.where("places > 1"))
+    for end, other, grams in (("a", "b", "one"), ("b", "a", "two")):
+        placed = pairs.join(hubs.withColumnRenamed("key", end), end, "left").withColumn("place", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1)))).drop("places")
+        pairs = placed.join(dealt.select(F.col("key").alias(end), "place", F.col("grams").alias(grams)), [end, "place"]).drop("place")
+    return pairs.select("a", "b", "one", "two").mapInArrow(_share(similarity), "a long, b long")
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
+    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def similar_components(printed: DataFrame, docs: DataFrame, similarity: float, text_col: str, words: int = SIMILAR_WORDS) -> DataFrame:
+    """(node, component): keys linked by exact similarity.
+
+    Of the sure pairs a forest is judged first; then every proposed pair that it leaves apart.
+    """
+    proposed = similar_links(printed, similarity)
+    proposed = common.materialize(proposed.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    sure = proposed.where("sure").select("a", "b")
+    together = max(1, -(-sure.count() // common.FOREST_LINKS))
+    forest = common.checkpoint(sure.coalesce(together).mapInArrow(_spanning, "a long, b long"))
+    good = common.checkpoint(exact(forest, printed, docs, similarity, text_col, words))
+    rest = common.checkpoint(_apart(proposed.select("a", "b"), common.components(good)))
+    return common.components(good.union(exact(rest, printed, docs, similarity, text_col, words)))
 
 
 def groups(docs: DataFrame, bits: int = BITS, words: int | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): near-duplicate groups of documents; component_id is the smallest id reachable.
 
-    Fingerprints link at ``bits`` or fewer differing bits, or by an estimated
-    ``similarity`` if one is given. They are compared once each, however many
+    Fingerprints link at ``bits`` or fewer differing bits, or texts by the exact
+    ``similarity`` of their distinct shingles if one is given. They are compared once each, however many
     documents carry one. Null ids never become a component_id while the group
     has another id. Null and empty texts share the fingerprint 0. Repeated rows
     give repeated rows.
     """
     if similarity is None:
-        printed = common.materialize(fingerprints(common.long_texts(docs), id_col, text_col, words or WORDS))
-        found = links(printed.select("fp").distinct(), bits)
+        printed = common.materialize(fingerprints(common.long_texts(docs), id_col, text_col, words or WORDS)).withColumn("key", F.col("fp"))
+        joined = common.components(links(printed.select("fp").distinct(), bits))
     else:
         printed = common.materialize(wide_fingerprints(docs, id_col, text_col, words or SIMILAR_WORDS))
-        found = similar_links(printed, similarity)
-    distinct = printed.groupBy("fp").agg(F.min(id_col).alias("least"))
-    joined = common.components(found)
-    roots = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+        joined = similar_components(printed, docs, similarity, text_col, words or SIMILAR_WORDS)
+    distinct = printed.groupBy("key").agg(F.min(id_col).alias("least"))
+    roots = distinct.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.join(least, "root").select("fp", "component_id")
-    return printed.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_key = roots.join(least, "root").select("key", "component_id")
+    return printed.join(by_key, "key").select(id_col, "fp", "component_id")
 
 
 def dedup(docs: DataFrame, bits: int = BITS, words: int | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -121,6 +121,21 @@ def test_similar_texts_meet(spark, monkeypatch, block):
     assert kept.columns == df.columns and kept.count() == len(set(found.values()))
 
 
+def test_similarity_is_exact_from_the_threshold_on(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 200)]
+        # one replaced stretch of n words takes n + 4 shingles: similarity from 0.71 to 0.88
+        n, at = int(rng.integers(10, 30)), int(rng.integers(20, 150))
+        texts += [" ".join(words), " ".join(words[:at] + [f"n{g}x{k}" for k in range(n)] + words[at + n :])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.groups(df, similarity=0.8).collect()}
+    near = [k for k in range(0, 300, 2) if jaccard(texts[k], texts[k + 1]) >= 0.8]
+    assert 30 < len(near) < 120
+    assert [k for k in range(0, 300, 2) if found[k] == found[k + 1]] == near
+
+
 def test_wide_words_are_fingerprints_of_their_own():
     rng = np.random.default_rng(2)
     words = [f"w{x}" for x in rng.integers(0, 10_000, 2000)]
