@@ -136,6 +136,13 @@ def test_similarity_is_exact_from_the_threshold_on(spark):
     assert [k for k in range(0, 300, 2) if found[k] == found[k + 1]] == near
 
 
+def test_repeated_shingles_do_not_merge_texts(spark):
+    # one shingle rules both fingerprints; the sets share one of about a hundred
+    rows = [(k, "z " * 1000 + " ".join(f"{c}{j}" for j in range(50))) for k, c in enumerate("abc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in near_dup.groups(df, similarity=0.8).collect()} == {0, 1, 2}
+
+
 def test_wide_words_are_fingerprints_of_their_own():
     rng = np.random.default_rng(2)
     words = [f"w{x}" for x in rng.integers(0, 10_000, 2000)]
