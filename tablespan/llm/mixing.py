@@ -11,6 +11,8 @@ SEED = 17
 #: Sources up to this many are broadcast; beyond it the join is salted.
 BROADCAST_SOURCES = 100_000
 SALTS = 32
+#: Larger rates are drawn in equal parts up to this one: exp(-rate) must not underflow.
+PART = 500.0
 _UNIT = 2.0**-53
 
 
@@ -49,18 +51,27 @@ def poisson_count(rate, draw):
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), top), start, step)["n"]).otherwise(0)
 
 
+def copies_of(rate, hashed):
+    """The Poisson count of a hash: one draw up to a rate of PART, beyond it the sum of draws with parts of the rate."""
+    unit = lambda h: F.shiftrightunsigned(h, 11) * F.lit(_UNIT)
+    parts = F.ceil(rate / PART).cast("int")
+    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, k: n + poisson_count(rate / parts, unit(F.xxhash64(hashed, k))))
+    return F.when(rate > PART, many).otherwise(poisson_count(rate, unit(hashed)))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", temper: float = 0.5) -> DataFrame:
     """Each document as often as a Poisson draw with its source's rate says, in one global random order.
 
     The draw is a hash of seed, id and text, so the rows do not depend on the
     partitioning, only their order does; rows that repeat id and text get equal
-    counts. All columns stay. Rates above 700 are refused: they would underflow.
+    counts. All columns stay. Given weights with a rate above 700 are refused as
+    a mistake; without weights no rate is.
     """
     inner, names = common.neutral(docs)
     own_id, own_source, text = names[id_col], names[source_col], names[text_col]
     wanted = rates(inner, weights, own_source, temper)
     highest = wanted.agg(F.count("*").alias("n"), F.max("rate").alias("top")).first()
-    if not (highest["top"] or 0.0) <= 700:
+    if weights is not None and not (highest["top"] or 0.0) <= 700:
         raise ValueError("a repetition rate over 700")
     if highest["n"] <= BROADCAST_SOURCES:
         rated = inner.join(F.broadcast(wanted), F.col(own_source).eqNullSafe(F.col("source")))
@@ -68,8 +79,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
         salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         own_salt = F.pmod(F.xxhash64(own_id), F.lit(SALTS)).cast("int")
         rated = inner.join(salted, F.col(own_source).eqNullSafe(F.col("source")) & (own_salt == F.col("salt")))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), own_id, text), 11) * F.lit(_UNIT)
-    copies = rated.withColumn("n", poisson_count(F.col("rate"), draw)).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    copies = rated.withColumn("n", copies_of(F.col("rate"), F.xxhash64(F.lit(seed), own_id, text))).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     # by hash into partitions and by hash within them: random throughout, without a pass to sample ranges
     shuffled = copies.withColumn("order", F.xxhash64(F.lit(seed + 1), own_id, "copy")).repartition("order").sortWithinPartitions("order")
     return common.named(shuffled, names)

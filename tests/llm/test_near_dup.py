@@ -264,6 +264,21 @@ def test_poisson_quantiles(spark):
     assert all(r["n"] == plain(r["rate"], r["u"]) for r in df.collect())
 
 
+def test_mixing_refuses_no_rate_of_its_own(spark):
+    rows = [(k, f"t{k}", "big") for k in range(6000)] + [(6000, "lone", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df, temper=0.0)  # equal weights: a rate of 3000.5 for the one row of the null source
+    got = Counter(r["source"] for r in mixed.collect())
+    assert abs(got[None] - 3000.5) < 6 * 3000.5**0.5 and abs(got["big"] - 3000.5) < 6 * 3000.5**0.5
+    assert mixing.mix(df.repartition(5), temper=0.0).where("source is null").count() == got[None]
+
+
+def test_parts_of_a_large_rate_are_poisson(spark):
+    df = spark.range(2000).select(mixing.copies_of(F.lit(1700.0), F.xxhash64("id")).alias("n"))
+    mean, var = df.agg(F.avg("n"), F.variance("n")).first()
+    assert abs(mean - 1700) < 6 * (1700 / 2000) ** 0.5 and abs(var / 1700 - 1) < 0.2
+
+
 def test_mixing_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.createDataFrame([(k, "t", f"s{k % 9}" if k % 10 else None) for k in range(500)], "doc_id long, text string, source string")
     want = sorted(map(str, mixing.mix(df).collect()))
