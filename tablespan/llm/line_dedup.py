@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A run of two or more lines is deleted from this many words on, a single line from MIN_LINE_WORDS on.
-MIN_RUN_WORDS = 10
-MIN_LINE_WORDS = 20
+#: A run of two or more lines is deleted from this many words on, a single line from MIN_LINE_WORDS on: what has six words hardly recurs by chance.
+MIN_RUN_WORDS = 6
+MIN_LINE_WORDS = 6
 SALTS = 16
 
 

@@ -212,6 +212,15 @@ def test_line_dedup_finds_runs_of_any_length(spark):
     assert found == plain_line_dedup(rows) and ("101", "other\nstop") in found and ("103", "z") in found
 
 
+def test_line_dedup_takes_short_lines_that_repeat(spark):
+    often = "one two three four five six seven eight nine"
+    rows = [(k, f"first of {k}\n{often}\nlast of {k}") for k in range(30)] + [(k, f"clean {k}\nyes\n\nno\nits own {k}") for k in range(30, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()}
+    assert found[0] == rows[0][1] and all(found[k] == f"first of {k}\nlast of {k}" for k in range(1, 30))
+    assert all(found[k] == rows[k][1] for k in range(30, 40))
+
+
 def test_line_dedup_edges(spark):
     long = " ".join(f"w{k}" for k in range(25))
     rows = [(1, f"{long}\na b c d e\nf g h i j\nend"), (2, f"x\na b c d e\nf g h i j\ny\n{long}"), (3, "a b c d e\nz"), (4, None), (5, ""), (6, "\n\n\n\n"), (7, long), (7, long), (None, long + "\nq"), (8, "s t\n" * 20_000), (9, "s t\n" * 300 + "u")]
