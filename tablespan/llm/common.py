@@ -9,7 +9,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -136,10 +136,10 @@ def _forest(batches):
 FOREST_LINKS = 500_000
 
 
-def _spread(links: DataFrame, least: DataFrame, salts: int = 8) -> DataFrame:
-    """Join links with a value per node; the values are repeated per salt, so a hub's links spread."""
-    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return links.withColumn("salt", F.pmod(F.xxhash64("peer"), F.lit(salts)).cast("int")).join(salted, ["node", "salt"]).drop("salt")
+def spread_join(rows: DataFrame, values: DataFrame, key: str, own: Column, salts: int = 8) -> DataFrame:
+    """Join rows with one value row per key; values are repeated per salt, so the rows of a frequent key spread by a hash of ``own``."""
+    salted = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(own), F.lit(salts)).cast("int")).join(salted, [key, "salt"]).drop("salt")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -160,11 +160,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = links.union(links.select("peer", "node"))
         least = both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("least"))
-        large = _spread(both, least).where("peer > node").select(F.col("peer").alias("node"), F.col("least").alias("peer")).where("node <> peer").distinct()
+        large = spread_join(both, least, "node", F.col("peer")).where("peer > node").select(F.col("peer").alias("node"), F.col("least").alias("peer")).where("node <> peer").distinct()
         down = large.select(F.greatest("node", "peer").alias("node"), F.least("node", "peer").alias("peer"))
         least = down.groupBy("node").agg(F.min("peer").alias("least"))
         links = checkpoint(
-            _spread(down, least)
+            spread_join(down, least, "node", F.col("peer"))
             .select(F.explode(F.array(F.struct(F.col("peer").alias("node"), F.col("least").alias("peer")), F.struct("node", F.col("least").alias("peer")))).alias("x"))
             .select("x.node", "x.peer")
             .where("node <> peer")

@@ -12,7 +12,8 @@ differ with probability arccos(2s / (1 + s)) / pi. Further fingerprint words of
 the same shingles give more halves and more bits to measure by; those travel
 with the anchors. Not every pair has a close half, so bands of least hashes are
 further anchors: a band of ROWS agrees with probability s ** ROWS. Anchors and
-bits only propose pairs; the distinct shingles of both texts decide.
+bits only propose: what may be linked is gathered into clusters by forests, never
+by all pairs of an anchor, and within a cluster the distinct shingles decide.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ WORDS = 4
 SIMILARITY, SIMILAR_WORDS, MEASURE, LANES = 0.8, 5, 3, 4
 #: Bands of least hashes: at similarity 0.8 none of them agrees for 1 pair in 14,000.
 BANDS, ROWS = 24, 5
-#: Pairs are proposed up to this many standard deviations above the expected bits, and are taken as good ones to begin with below it by SURE.
+#: Texts are gathered up to this many standard deviations above the expected bits, and pairs are taken as good ones to begin with below it by SURE.
 LAX, SURE = 4.0, 2.0
 #: Pairs of one text that are judged in one place.
 HUB = 256
+#: Texts and shingles of a cluster that are compared with one another in one place; larger clusters are dealt out as pairs of blocks.
+CLUSTER_TEXTS, CLUSTER_GRAMS = 512, 500_000
 SEED = 42
 #: Rows of one anchor that are compared in one place; larger groups are split into blocks.
 BLOCK = 1 << 14
@@ -179,19 +182,42 @@ def _replicate_wide(batches):
 
 
 def _forest(rows: np.ndarray, bits: int, sure: int, name: int) -> list[tuple[int, int, bool]]:
-    """Links (of first words) that connect what is linked in one large group: at most one per fingerprint by ``sure`` bits, and all others up to ``bits``."""
+    """Links (of first words) of one large group, fewer than two per fingerprint: a forest by ``sure`` bits, and what joins its trees by ``bits``."""
     left, out = rows, []
+    tree = np.full(len(rows), -1)  # the tree that a row not yet visited was joined to
+    joined: list[int] = []
+
+    def root(k):
+        while joined[k] != k:
+            joined[k] = k = joined[joined[k]]
+        return k
+
     while len(left):
-        queue, left = [left[0]], left[1:]
+        own = len(joined) if tree[0] < 0 else root(int(tree[0]))
+        if own == len(joined):
+            joined.append(own)
+        queue, left, tree = [left[0]], left[1:], tree[1:]
         while queue and len(left):
             x = queue.pop()
             far = np.bitwise_count(left[:, name:] ^ x[name:]).sum(1, dtype=np.int64)
             near = far <= sure
-            out += [(x[0], y[0], False) for y in left[(far <= bits) & ~near]]
+            others = np.unique(tree[near]) if near.any() else ()
+            for k in others:  # trees that meet in a sure neighbour are one
+                if k >= 0 and root(int(k)) != root(own):
+                    joined[root(int(k))] = root(own)
+            loose = np.flatnonzero((far <= bits) & ~near)
+            fresh = loose[tree[loose] < 0]
+            out += [(x[0], y[0], False) for y in left[fresh]]
+            tree[fresh] = root(own)
+            for k in np.unique(tree[loose]):
+                if root(int(k)) != root(own):
+                    out.append((x[0], left[loose[tree[loose] == k][0]][0], False))
+                    joined[root(int(k))] = root(own)
             if near.any():
-                found, left = left[near], left[~near]
+                found = left[near]
                 out += [(x[0], y[0], True) for y in found]
                 queue += list(found)
+                left, tree = left[~near], tree[~near]
     return out
 
 
@@ -220,6 +246,56 @@ def links_within(anchor: np.ndarray, rows: np.ndarray, bits: int, sure: int | No
     return np.unique(pairs, axis=0).view(np.int64)
 
 
+class _Forest:
+    """Union-find over what one task has seen."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def joins(self, a: int, b: int) -> bool:
+        """Join the two; whether they were apart."""
+        a, b = self._root(a), self._root(b)
+        self.parent[a] = b
+        return a != b
+
+    def _root(self, x):
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+
+def _thinned(run):
+    """Of the links of one task only those that join what its sure links, or all its links, have not joined yet."""
+
+    def thin(batches):
+        sure_ones, all_ones = _Forest(), _Forest()
+        for batch in run(batches):
+            keep = []
+            for k, (a, b, sure, over) in enumerate(zip(*(column.to_pylist() for column in batch.columns))):
+                if over or sure and sure_ones.joins(a, b) or not sure and all_ones.joins(a, b):
+                    keep.append(k)
+                if sure:
+                    all_ones.joins(a, b)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return thin
+
+
+def _spanning(batches):
+    """Of the pairs of one partition, those that connect what is not connected yet."""
+    seen = _Forest()
+    for batch in batches:
+        keep = [k for k, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if seen.joins(*pair)]
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def spanning(pairs: DataFrame) -> DataFrame:
+    """A forest of the pairs (a, b), about FOREST_LINKS of them in one place."""
+    together = max(1, -(-pairs.count() // common.FOREST_LINKS))
+    return common.checkpoint(pairs.coalesce(together).mapInArrow(_spanning, "a long, b long"))
+
+
 def _link(bits: int, keys: int, block: int | None, sure: int | None = None, name: int = 0):
     """Compare sorted (keys..., words...) rows per run of equal keys; runs over ``block`` rows are only reported."""
 
@@ -280,7 +356,7 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
 def _linked(replicas: DataFrame, bits: int, block: int, sure: int | None = None, name: int = 0) -> DataFrame:
     """(a, b, sure): links among replicas (anchor, words...) of an anchor."""
     schema, words = "a long, b long, sure boolean, over boolean", replicas.columns[1:]
-    judged = common.checkpoint(replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link(bits, 1, block, sure, name), schema))
+    judged = common.checkpoint(replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_thinned(_link(bits, 1, block, sure, name)), schema))
     found = judged.where("not over").select("a", "b", "sure")
     over = judged.where("over").select(F.col("a").alias("anchor")).distinct()
     if over.isEmpty():
@@ -290,8 +366,8 @@ def _linked(replicas: DataFrame, bits: int, block: int, sure: int | None = None,
     dealt = crowded.join(blocks, "anchor").withColumn("own", F.pmod(F.xxhash64(*words), F.col("n")).cast("long"))
     dealt = dealt.select("anchor", *words, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     dealt = dealt.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *words)
-    more = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_link(bits, 3, None, sure, name), schema)
-    return found.union(more.select("a", "b", "sure"))
+    more = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_thinned(_link(bits, 3, None, sure, name)), schema)
+    return found.union(common.checkpoint(more).select("a", "b", "sure"))
 
 
 def similar_links(printed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -307,24 +383,6 @@ def similar_links(printed: DataFrame, similarity: float = SIMILARITY, block: int
     return _linked(replicas, int(n * share + LAX * spread), block, int(n * share - SURE * spread), 1)
 
 
-def _spanning(batches):
-    """Of the pairs of one partition, those that connect what is not connected yet."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    for batch in batches:
-        keep = []
-        for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            a, b = root(a), root(b)
-            keep += [k] if a != b else []
-            parent[a] = b
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
 def _share(similarity: float):
     """The pairs whose sets of shingles have this Jaccard similarity or more."""
 
@@ -341,50 +399,147 @@ def _share(similarity: float):
     return run
 
 
-def exact(pairs: DataFrame, printed: DataFrame, docs: DataFrame, similarity: float, text_col: str, words: int = SIMILAR_WORDS) -> DataFrame:
-    """The pairs (a, b) of keys whose distinct shingles have this Jaccard similarity or more.
-
-    Only texts that are in a pair are read, once each. A text with over HUB pairs is dealt out.
-    """
+def shingle_sets(keys: DataFrame, printed: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(key, grams): the distinct shingles' hashes of these keys, sorted. One text of each key is read."""
 
     def shingles(batches):
         for batch in batches:
             sets = [np.unique(_shingle_hashes(x, words)).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["key", "grams"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.ceil(F.count("*") / HUB).alias("places"))
-    ends = common.checkpoint(ends)
-    wanted = printed.select("key", "variant").join(ends, "key").groupBy("key").agg(F.min("variant").alias("variant"))
+    wanted = printed.select("key", "variant").join(keys, "key", "left_semi").groupBy("key").agg(F.min("variant").alias("variant"))
     texts = docs.select(F.xxhash64(text_col).alias("variant"), F.col(text_col).alias("text")).join(wanted, "variant").groupBy("key").agg(F.min("text").alias("text"))
-    sets = common.materialize(common.long_texts(texts).mapInArrow(shingles, "key long, grams binary"))
+    return common.materialize(texts.mapInArrow(shingles, "key long, grams binary"))
+
+
+def exact(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets (key, grams) have this Jaccard similarity or more; a key with over HUB pairs is dealt out."""
+    ends = common.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.ceil(F.count("*") / HUB).alias("places")))
     dealt = sets.join(ends, "key").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1))).drop("places")
-    hubs = F.broadcast(ends.where("places > 1"))
+    hubs = ends.where("places > 1")
     for end, other, grams in (("a", "b", "one"), ("b", "a", "two")):
         placed = pairs.join(hubs.withColumnRenamed("key", end), end, "left").withColumn("place", F.pmod(F.xxhash64(other), F.coalesce("places", F.lit(1)))).drop("places")
         pairs = placed.join(dealt.select(F.col("key").alias(end), "place", F.col("grams").alias(grams)), [end, "place"]).drop("place")
     return pairs.select("a", "b", "one", "two").mapInArrow(_share(similarity), "a long, b long")
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are not in one component yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
-    return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+def _common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of one list shares with each of the other."""
+    lists = [*one, *two]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    values = np.concatenate(lists)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    which = np.cumsum(np.r_[True, values[1:] != values[:-1]]) - 1
+    # only what both sides have counts
+    left = owner < len(one)
+    n = which[-1] + 1
+    both = (np.bincount(which[left], minlength=n) > 0) & (np.bincount(which[~left], minlength=n) > 0)
+    keep = both[which]
+    which, owner, left = (np.cumsum(both) - 1)[which[keep]], owner[keep], left[keep]
+    total = np.zeros((len(one), len(two)), np.float32)
+    for lo in range(0, int(both.sum()), 4096):
+        a, b = np.searchsorted(which, [lo, lo + 4096])
+        sides = []
+        for own, size, base in ((left[a:b], len(one), 0), (~left[a:b], len(two), len(one))):
+            side = np.zeros((size, 4096), np.float32)
+            side[owner[a:b][own] - base, which[a:b][own] - lo] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def _cluster_links(similarity: float):
+    """Links that join the components of a cluster, from the sets in two of its blocks; rows sorted by (cluster, i, j)."""
+
+    def run(batches):
+        for rows in common.contiguous(batches, 3):
+            keys = np.stack([rows.column(k).to_numpy() for k in range(3)], 1)
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1), True])
+            own, key, part = (rows.column(c).to_numpy() for c in ("own", "key", "part"))
+            grams = rows.column("grams").to_pylist()
+            out = []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                one = np.arange(lo, hi)[own[lo:hi] == keys[lo, 1]]
+                two = np.arange(lo, hi)[own[lo:hi] == keys[lo, 2]]
+                if not len(one) or not len(two):
+                    continue
+                sets = [[np.frombuffer(grams[k], np.uint64) for k in side] for side in (one, two)]
+                sizes = [np.array([len(x) for x in side]) for side in sets]
+                both = _common_counts(*sets)
+                whole = sizes[0][:, None] + sizes[1][None] - both
+                i, j = np.nonzero((both >= similarity * whole - 1e-6) & (part[one][:, None] != part[two][None]))
+                # one link for each two components
+                _, first = np.unique(np.sort(np.stack([part[one][i], part[two][j]], 1), axis=1), axis=0, return_index=True)
+                out += zip(key[one][i[first]].tolist(), key[two][j[first]].tolist())
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _only_own(members: DataFrame, similarity: float) -> DataFrame:
+    """Members of which too many shingles occur in no other member of the cluster: no other text can be this similar."""
+
+    def grams(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                sets = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                yield pa.record_batch([*(part.column(c).take(pa.array(at)) for c in (0, 1)), pa.array(np.concatenate(sets))], names=["cluster", "key", "gram"])
+
+    each = members.select("cluster", "key", "grams").mapInArrow(grams, "cluster long, key long, gram long")
+    alone = each.groupBy("cluster", "gram").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    return members.select("key", "n").join(alone, "key").where(F.col("n") - F.col("alone") < F.lit(similarity) * F.col("n") - 1e-6).select("key")
+
+
+def within_clusters(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join the components (part) of each cluster's members (cluster, key, part, n, grams).
+
+    A cluster of many texts or shingles first loses what is too much its own,
+    and is then dealt out as pairs of blocks. The largest component's members
+    are not compared with one another.
+    """
+    sized = lambda rows: rows.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_TEXTS), F.ceil(F.sum("n") / CLUSTER_GRAMS)).alias("blocks"))
+    large = common.checkpoint(sized(members).where("blocks > 1"))
+    if not large.isEmpty():
+        alone = _only_own(members.join(large.select("cluster"), "cluster", "left_semi"), similarity)
+        members = common.materialize(members.join(alone, "key", "left_anti"))
+    parts = members.groupBy("cluster", "part").agg(F.count("*").alias("texts"), F.sum("n").alias("grams"))
+    blocks = F.greatest(F.ceil(F.sum("texts") / CLUSTER_TEXTS), F.ceil(F.sum("grams") / CLUSTER_GRAMS))
+    first = parts.groupBy("cluster").agg(F.max(F.struct("texts", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("m.part").alias("major"))
+    sides = parts.join(first, "cluster").groupBy("cluster", "major", (F.col("part") == F.col("major")).alias("is_major")).agg(blocks.alias("b"))
+    dealt = sides.groupBy("cluster", "major").agg(F.sum(F.when(F.col("is_major"), F.col("b"))).alias("nm"), F.sum(F.when(~F.col("is_major"), F.col("b"))).alias("no"))
+    salted = common.checkpoint(dealt).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    placed = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")).join(salted, ["cluster", "salt"]).drop("salt")
+    major = F.col("part") == F.col("major")
+    # the other components' blocks come first; each meets all blocks, the largest component's meet only those
+    own = F.when(major, F.col("no") + F.pmod(F.xxhash64(F.lit(1), "key"), F.col("nm"))).otherwise(F.pmod(F.xxhash64(F.lit(1), "key"), F.col("no")))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(major, F.col("no")).otherwise(F.col("no") + F.col("nm")) - 1)
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(meets))
+    placed = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "part", "grams")
+    return placed.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_cluster_links(similarity), "a long, b long")
 
 
 def similar_components(printed: DataFrame, docs: DataFrame, similarity: float, text_col: str, words: int = SIMILAR_WORDS) -> DataFrame:
     """(node, component): keys linked by exact similarity.
 
-    Of the sure pairs a forest is judged first; then every proposed pair that it leaves apart.
+    Proposed pairs are reduced to forests: the sure ones are judged pair by pair,
+    and all of them make clusters. A cluster that those good pairs do not connect
+    is compared in full, in blocks.
     """
     proposed = similar_links(printed, similarity)
-    proposed = common.materialize(proposed.groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    sure = proposed.where("sure").select("a", "b")
-    together = max(1, -(-sure.count() // common.FOREST_LINKS))
-    forest = common.checkpoint(sure.coalesce(together).mapInArrow(_spanning, "a long, b long"))
-    good = common.checkpoint(exact(forest, printed, docs, similarity, text_col, words))
-    rest = common.checkpoint(_apart(proposed.select("a", "b"), common.components(good)))
-    return common.components(good.union(exact(rest, printed, docs, similarity, text_col, words)))
+    sure, loose = spanning(proposed.where("sure").select("a", "b")), spanning(proposed.select("a", "b"))
+    clusters = common.components(loose).withColumnRenamed("component", "cluster")
+    clusters = common.checkpoint(clusters.union(clusters.select("cluster", "cluster").distinct()).distinct())
+    sets = shingle_sets(clusters.select(F.col("node").alias("key")), printed, docs, text_col, words)
+    good = common.checkpoint(exact(sure, sets, similarity))
+    parts = common.components(good).withColumnRenamed("component", "part")
+    members = clusters.join(parts, "node", "left").select("cluster", F.col("node").alias("key"), F.coalesce("part", "node").alias("part"))
+    apart = members.groupBy("cluster").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("cluster")
+    members = members.join(apart, "cluster", "left_semi").join(sets, "key").withColumn("n", F.expr("octet_length(grams) div 8"))
+    more = within_clusters(common.materialize(members.select("cluster", "key", "part", "n", "grams")), similarity)
+    return common.components(good.union(more))
 
 
 def groups(docs: DataFrame, bits: int = BITS, words: int | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,10 +558,10 @@ def groups(docs: DataFrame, bits: int = BITS, words: int | None = None, similari
         printed = common.materialize(wide_fingerprints(docs, id_col, text_col, words or SIMILAR_WORDS))
         joined = similar_components(printed, docs, similarity, text_col, words or SIMILAR_WORDS)
     distinct = printed.groupBy("key").agg(F.min(id_col).alias("least"))
-    roots = distinct.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
+    roots = common.checkpoint(distinct.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key")))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = roots.join(least, "root").select("key", "component_id")
-    return printed.join(by_key, "key").select(id_col, "fp", "component_id")
+    by_key = common.spread_join(roots, least, "root", F.col("key")).select("key", "component_id")
+    return common.spread_join(printed, by_key, "key", F.col(id_col)).select(id_col, "fp", "component_id")
 
 
 def dedup(docs: DataFrame, bits: int = BITS, words: int | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
