@@ -1,41 +1,53 @@
 """LM scoring with Brown class-based n-grams.
 
-The most frequent words are clustered by exchange: each word moves to the class
-that raises the likelihood of the class bigrams most. Every other word then takes
-one exchange step against those classes, from the counts of the class it follows.
-A token's probability is P(its class | class of the clustered word before it) *
-P(word | class). Each class keeps the mass that absolute discounting frees for
-words that training did not see; class transitions are smoothed toward the class
-frequencies. Over the training words and one unseen word the probabilities sum
-to 1 in every context.
+Every training word gets a class by exchange. The most frequent words start it:
+each moves, one after the other, to the class that raises the likelihood of the
+class bigrams most. Then all other words move in parallel rounds on Spark, from
+the counts of the classes before and after all their occurrences: in the first
+round next to the words that started, then next to all words. Counts and gains
+are integers, so classes do not depend on how the texts are dealt out.
+
+A token's probability is P(its class | class of the word before it) * P(word |
+class). Each class keeps the mass that absolute discounting frees for words that
+training did not see; class transitions are smoothed toward the class
+frequencies, which are also the context after an unseen word. Over the training
+words and one unseen word the probabilities sum to 1 in every context.
+
+Texts are tokenised twice: once to count words, once to write them as numbers.
+The most frequent words (``head``) have numbers and travel in arrays; all other
+occurrences are rows (word, number before, number after) that are shuffled by
+the word. Which words are in the head changes no result.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 CLASSES = 16
-#: Words that the exchange clusters pairwise; a square table of their bigrams reaches the driver.
+#: Words that start the exchange; a square table of their bigrams reaches the driver.
 CLUSTERED = 1024
-#: Frequent words that each task gets with their counts; all others are joined.
-HEAD = 1 << 17
-#: Words per task that stand for election to the clustered ones.
-ELECTED = 20_000
-ROUNDS = 12
+#: Frequent words that are known by number everywhere; all others are shuffled.
+HEAD = 1 << 18
+#: Rounds in which all other words move.
+ROUNDS = 2
+SWEEPS = 12
 SMOOTH = 1.0
-#: The end token; no word holds a line break. It is also the context of a text's first token.
+#: The end token; no word holds a line break. Its class, 0, is also the context of a text's first token.
 END = b"\n"
+#: A number before or after that is none: a word outside the head, the start of a text.
+_TAIL, _START = -1, -2
 _FLUSH = 200_000
+_BLOCK = 1024
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -45,54 +57,85 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-def elect(docs: DataFrame, text_col: str, n: int) -> list[bytes]:
-    """About the n most frequent words, the end token first: each task nominates its own most frequent."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, c): how often each token occurs in all given documents."""
 
-    def nominate(batches):
+    def count(batches):
         seen = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(tokens(text))
-            if len(seen) > 2 * _FLUSH:
-                yield chosen(seen)
-                seen = Counter()
-        yield chosen(seen)
+                if len(seen) > _FLUSH:
+                    yield of(seen)
+                    seen = Counter()
+        yield of(seen)
+
+    def of(seen):
+        return pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+
+    return docs.select(text_col).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
 
-    def chosen(seen):
-        top = seen.most_common(ELECTED)
-        return pa.record_batch([pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], names=["word", "c"])
+@dataclass
+class Head:
+    """The most frequent words, the end token first; a word's number is its place."""
+
+    words: list[bytes]
+    counts: np.ndarray
 
-    rows = docs.select(text_col).mapInArrow(nominate, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    found = rows.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(n - 1).toArrow()
-    return [END, *found["word"].to_pylist()]
 
+def head_of(counts: DataFrame, size: int) -> Head:
+    """The ``size`` most frequent words of a corpus, ties by the word; none of an empty one."""
+    top = counts.orderBy((F.col("word") == F.lit(END)).desc(), F.desc("c"), "word").limit(size).toArrow()
+    return Head(top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64))
 
-def _last_known(ids: np.ndarray) -> np.ndarray:
-    """For each position the last non-negative id before it; 0, the end token's, at the start."""
-    at = np.where(ids >= 0, np.arange(len(ids)), -1)
-    at = np.maximum.accumulate(at)
-    before = np.r_[-1, at[:-1]]
-    return np.where(before >= 0, ids[before], 0)
 
+def encode(docs: DataFrame, head: Head, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, learn, ids, rest): each text as numbers of head words (int32, _TAIL for others) and its other words. Written once."""
+    shared = docs.sparkSession.sparkContext.broadcast(head.words)
 
-def bigrams(docs: DataFrame, text_col: str, clustered: list[bytes]) -> np.ndarray:
-    """Counts (n x n) of clustered words after the clustered word before them."""
-    n, index = len(clustered), {w: k for k, w in enumerate(clustered)}
+    def run(batches):
+        index = {w: k for k, w in enumerate(shared.value)}
+        for batch in batches:
+            ids, rest = [], []
+            for text in batch.column(3).to_pylist():
+                words = tokens(text)
+                found = np.fromiter(map(index.get, words, repeat(_TAIL)), np.int32, len(words))
+                ids.append(found.tobytes())
+                rest.append(b" ".join([words[k] for k in np.flatnonzero(found < 0).tolist()]))
+            yield pa.record_batch([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(rest, pa.binary())], names=["row", "id", "learn", "ids", "rest"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), learn.alias("learn"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return common.materialize(rows.mapInArrow(run, f"row long, id {kind}, learn boolean, ids binary, rest binary"))
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of many texts end to end, those before them, and the place of each one's text."""
+    raw = column.to_pylist()
+    ids = np.frombuffer(b"".join(raw), np.int32).astype(np.int64)
+    sizes = np.array([len(x) for x in raw], np.int64) // 4
+    before = np.r_[_START, ids[:-1]] if len(ids) else ids
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = _START
+    return ids, before, np.repeat(np.arange(len(raw)), sizes)
+
+
+def seed_bigrams(corpus: DataFrame, n: int) -> np.ndarray:
+    """Counts (n x n) of the first n head words straight after one another; a text's start counts as the end token."""
 
     def count(batches):
         total = np.zeros(n * n, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                ids = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-                ids = ids[ids >= 0]
-                np.add.at(total, np.r_[0, ids[:-1]] * n + ids, 1)
+            ids, before, _ = _flat(batch.column(0))
+            before = np.where(before == _START, 0, before)
+            both = (ids >= 0) & (ids < n) & (before >= 0) & (before < n)
+            np.add.at(total, before[both] * n + ids[both], 1)
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 50_000):
             part = at[lo : lo + 50_000]
             yield pa.record_batch([pa.array(part), pa.array(total[part])], names=["pair", "c"])
 
-    found = docs.select(text_col).mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    found = corpus.select("ids").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
     table = np.zeros(n * n)
     table[found["pair"].to_numpy()] = found["c"].to_numpy()
     return table.reshape(n, n)
@@ -102,7 +145,7 @@ def _xlogx(a):
     return a * np.log(np.maximum(a, 1e-300))
 
 
-def exchange(table: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(table: np.ndarray, classes: int = CLASSES, rounds: int = SWEEPS) -> np.ndarray:
     """The class of each word, by exchange: class 0 is the end token's alone, all others move freely."""
     n = len(table)
     label = np.r_[0, 1 + np.arange(n - 1) % (classes - 1)]
@@ -147,170 +190,347 @@ def exchange(table: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return label
 
 
-def contexts(docs: DataFrame, text_col: str, clustered: list[bytes], label: np.ndarray, classes: int) -> DataFrame:
-    """(word, e0, e1, ...): how often each training word follows each class, over all documents."""
-    index = {w: int(k) for w, k in zip(clustered, label)}
-    names = [f"e{k}" for k in range(classes)]
+def gains(moves: np.ndarray) -> np.ndarray:
+    """(2 * classes, classes) integers: what an occurrence next to a class is worth in each class; first classes before, then after."""
+    some = moves + 0.5
+    into, out = np.log(some) - np.log(some.sum(0)), np.log(some.T) - np.log(some.sum(1))
+    return np.round(np.concatenate([into, out]) * 65536).astype(np.int64)
+
+
+def choose(contexts: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The class of most gain for each row of counts (integers); class 0 is the end token's, the first of equals counts."""
+    return 1 + np.argmax((contexts @ gain)[:, 1:], axis=1)
+
+
+class _Cells:
+    """Counts of (head word, class before or after) in one task, sent as blocks of words."""
+
+    def __init__(self, size: int, width: int):
+        self.width, self.cells, self.held, self.n = width, np.zeros(-(-max(size, 1) // _BLOCK) * _BLOCK * width, np.int64), [], 0
+
+    def add(self, word: np.ndarray, cell: np.ndarray):
+        self.held.append(word * self.width + cell)
+        self.n += len(word)
+        if self.n > 2_000_000:
+            self.settle()
+
+    def settle(self):
+        if self.held:
+            at, n = np.unique(np.concatenate(self.held), return_counts=True)
+            self.cells[at] += n
+            self.held, self.n = [], 0
+
+    def blocks(self):
+        self.settle()
+        for k, block in enumerate(self.cells.reshape(-1, _BLOCK * self.width)):
+            if block.any():
+                yield k, block.tobytes()
+
+
+def _summed(blocks: DataFrame) -> DataFrame:
+    """(block, cells): blocks of counts added up, in two steps, so that no task gets one from every other."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cells = np.frombuffer(cells, np.int64)
+                total[k] = total[k] + cells if k in total else cells
+        for k, cells in total.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["block", "cells"])
+
+    some = blocks.repartition("block", F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(add, "block int, cells binary")
+    return some.repartition("block").mapInArrow(add, "block int, cells binary")
+
+
+def _head_contexts(corpus: DataFrame, label, classes: int) -> DataFrame:
+    """(block, cells) of head words next to head words."""
 
     def count(batches):
-        known: dict[bytes, int] = defaultdict()
-        known.default_factory = known.__len__
-        held, size = [], 0
+        own = label.value
+        cells = _Cells(len(own), 2 * classes)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                own = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-                held.append((ids * classes + _last_known(own)).astype(np.int32))
-                size += len(ids)
-                if len(known) > _FLUSH or size > 4_000_000:
-                    yield from flush(known, held)
-                    known.clear()
-                    held, size = [], 0
-        if known:
-            yield from flush(known, held)
-
-    def flush(known, held):
-        table = np.bincount(np.concatenate(held), minlength=len(known) * classes).reshape(-1, classes)
-        words = list(known)
-        for lo in range(0, len(words), 20_000):
-            part = table[lo : lo + 20_000]
-            yield pa.record_batch([pa.array(words[lo : lo + 20_000], pa.binary()), *(pa.array(part[:, k]) for k in range(classes))], names=["word", *names])
-
-    rows = docs.select(text_col).mapInArrow(count, "word binary, " + ", ".join(f"{x} long" for x in names))
-    return rows.groupBy("word").agg(*(F.sum(x).alias(x) for x in names))
-
-
-def with_class(counted: DataFrame, clustered: list[bytes], label: np.ndarray, prior: np.ndarray) -> DataFrame:
-    """Add c and cls: clustered words keep their class, every other takes the likeliest by the classes it follows."""
-    index = {w: int(k) for w, k in zip(clustered, label)}
-    classes = len(prior)
-    smooth = prior + 0.5
-    gain = np.log(smooth / smooth.sum(1, keepdims=True)) - np.log(smooth.sum(0) / smooth.sum())
-    gain[:, 0] = -np.inf
-
-    def choose(batches):
+            ids, before, _ = _flat(batch.column(0))
+            first = (before == _START) & (ids >= 0)
+            cells.add(ids[first], np.zeros(first.sum(), np.int64))
+            both = (ids >= 0) & (before >= 0)
+            here, there = ids[both], before[both]
+            for word, klass, side in ((here, own[there], 0), (there, own[here], classes)):
+                cells.add(word[klass >= 0], klass[klass >= 0] + side)
+        for k, block in cells.blocks():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([block], pa.binary())], names=["block", "cells"])
+
+    return corpus.select("ids").mapInArrow(count, "block int, cells binary")
+
+
+def _occurrences(corpus: DataFrame) -> DataFrame:
+    """(word, kind, x, y, n): each occurrence of a word outside the head between two numbers."""
+
+    def run(batches):
         for batch in batches:
-            e = np.stack([batch.column(k + 1).to_numpy() for k in range(classes)], 1)
-            with np.errstate(invalid="ignore"):
-                best = np.argmax(np.where(np.isinf(gain).any(0), -np.inf, e @ np.where(np.isinf(gain), 0, gain)), 1)
-            fixed = np.fromiter(map(index.get, batch.column(0).to_pylist(), repeat(-1)), np.int64, batch.num_rows)
-            yield pa.record_batch([*batch.columns, pa.array(e.sum(1)), pa.array(np.where(fixed >= 0, fixed, best).astype(np.int32))], names=[*batch.schema.names, "c", "cls"])
+            ids, before, _ = _flat(batch.column(0))
+            at = np.flatnonzero(ids < 0)
+            after = np.r_[ids[1:], _TAIL][at]
+            words = [w for rest, n in zip(batch.column(1).to_pylist(), _tails(batch.column(0))) if n for w in rest.split(b" ")]
+            for lo in range(0, len(at), 100_000):
+                part = slice(lo, lo + 100_000)
+                size = len(at[part])
+                yield pa.record_batch([pa.array(words[part], pa.binary()), pa.array(np.zeros(size, np.int8)), pa.array(before[at[part]].astype(np.int32)), pa.array(after[part].astype(np.int32)), pa.array(np.ones(size, np.int64))], names=["word", "kind", "x", "y", "n"])
+
+    return corpus.select("ids", "rest").mapInArrow(run, "word binary, kind tinyint, x int, y int, n long")
+
+
+def _tails(column) -> list[int]:
+    return [int((np.frombuffer(x, np.int32) < 0).sum()) for x in column.to_pylist()]
 
-    return counted.mapInArrow(choose, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.schema) + ", c long, cls int")
+
+def tail_pairs(corpus: DataFrame) -> DataFrame:
+    """(row, one, two): words outside the head straight after one another."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], []]
+            for row, ids, rest in zip(*(column.to_pylist() for column in batch.columns)):
+                at = np.flatnonzero(np.frombuffer(ids, np.int32) < 0)
+                next_to = np.flatnonzero(np.diff(at) == 1).tolist()
+                if next_to:
+                    words = rest.split(b" ")
+                    out[0] += [row] * len(next_to)
+                    out[1] += [words[k] for k in next_to]
+                    out[2] += [words[k + 1] for k in next_to]
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["row", "one", "two"])
+
+    return corpus.select("row", "ids", "rest").mapInArrow(run, "row long, one binary, two binary")
+
+
+_COUNTED = "word binary, c long, cls int, contexts binary, block int, cells binary"
+
+
+def _tail_contexts(label, classes: int):
+    """Contexts of each word outside the head, from its rows; what head words next to it get from its class; its transitions (block -1)."""
+
+    def run(batches):
+        own = label.value
+        cells, moves = _Cells(len(own), 2 * classes), np.zeros(classes * classes, np.int64)
+        known = np.r_[own, 0, -1]  # ... of the start, of no number
+        width = 2 * classes
+        for rows in common.contiguous(batches):
+            word = rows.column("word").combine_chunks()
+            kind, x, y, n = (rows.column(k).to_numpy().astype(np.int64) for k in ("kind", "x", "y", "n"))
+            first = np.r_[True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]
+            group, size = np.cumsum(first) - 1, int(first.sum())
+            here, told = kind == 0, kind == 3
+            cls = np.full(size, -1)
+            cls[group[told]] = x[told]
+            before, after = np.where(here, known[np.where(here, x, 0)], np.where(kind == 1, x, -1)), np.where(here, known[np.where(here, y, 0)], np.where(kind == 2, y, -1))
+            a, b = before >= 0, after >= 0
+            at = np.r_[group[a] * width + before[a], group[b] * width + classes + after[b]]
+            at, where = np.unique(at, return_inverse=True)
+            total = np.bincount(where, np.r_[n[a], n[b]], len(at)).astype(np.int64)
+            packed = (total << 8 | at % width).tobytes()
+            ends = 8 * np.searchsorted(at // width, np.arange(size + 1))
+            c = np.bincount(group[here], minlength=size)
+            # a transition counts at its second word; those into head words are in their contexts
+            mine = cls[group]
+            counted = a & (mine >= 0)
+            moves += np.bincount(before[counted] * classes + mine[counted], n[counted], classes * classes).astype(np.int64)
+            for number, side in ((x, classes), (y, 0)):
+                beside = here & (number >= 0) & (mine >= 0)
+                cells.add(number[beside], mine[beside] + side)
+            contexts = [packed[p:q] for p, q in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.record_batch([word.filter(pa.array(first)), pa.array(c), pa.array(cls.astype(np.int32)), pa.array(contexts, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=["word", "c", "cls", "contexts", "block", "cells"])
+        for k, block in [*cells.blocks(), (-1, moves.tobytes())]:
+            yield pa.record_batch([pa.array([None], t) for t in (pa.binary(), pa.int64(), pa.int32(), pa.binary())] + [pa.array([k], pa.int32()), pa.array([block], pa.binary())], names=["word", "c", "cls", "contexts", "block", "cells"])
+
+    return run
+
+
+def _move(gain: np.ndarray):
+    """Each word outside the head to its class of most gain."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 20_000):
+                part = batch.slice(lo, 20_000)
+                raw = part.column(2).to_pylist()
+                packed = np.frombuffer(b"".join(raw), np.int64)
+                contexts = np.zeros((len(raw), len(gain)), np.int64)
+                contexts[np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw]), packed & 255] = packed >> 8
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(choose(contexts, gain).astype(np.int32))], names=["word", "c", "cls"])
+
+    return run
+
+
+def _counted(corpus: DataFrame, pairs: DataFrame, label: np.ndarray, tail: DataFrame | None, classes: int):
+    """Under the present classes: counts of head words, contexts of the others, transitions between classes, and the frame behind them."""
+    spark = corpus.sparkSession
+    shared = spark.sparkContext.broadcast(label)
+    rows = _occurrences(corpus)
+    if tail is not None:
+        flat = lambda df, kind, x, y, n: df.select("word", F.lit(kind).cast("tinyint").alias("kind"), F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y"), F.col(n).cast("long").alias("n"))
+        classed = tail.select("word", "cls")
+        first = pairs.join(classed.withColumnRenamed("word", "one"), "one").select(F.col("two").alias("word"), "cls", "n")
+        second = pairs.join(classed.withColumnRenamed("word", "two"), "two").select(F.col("one").alias("word"), "cls", "n")
+        rows = rows.union(flat(first, 1, "cls", "cls", "n")).union(flat(second, 2, "cls", "cls", "n")).union(flat(tail, 3, "cls", "cls", "c"))
+    met = common.materialize(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_tail_contexts(shared, classes), _COUNTED))
+    blocks = _head_contexts(corpus, shared, classes).union(met.where("block is not null").select("block", "cells"))
+    cells, moves = np.zeros((max(len(label), 1), 2 * classes), np.int64), np.zeros((classes, classes), np.int64)
+    for row in _summed(blocks).toLocalIterator():
+        found = np.frombuffer(row["cells"], np.int64)
+        if row["block"] < 0:
+            moves += found.reshape(classes, classes)
+        else:
+            lo = row["block"] * _BLOCK
+            cells[lo : lo + _BLOCK] += found.reshape(_BLOCK, -1)[: len(cells) - lo]
+    for k in range(classes):
+        moves[:, k] += cells[: len(label)][label == k, :classes].sum(0)
+    return cells, met.where("block is null").select("word", "c", "contexts"), moves, met
 
 
 @dataclass
 class Model:
-    words: DataFrame  # word, c, cls and the context counts, one row per training word
-    clustered: list[bytes]
-    label: np.ndarray
+    head: Head
+    label: np.ndarray  # the class of each head word
+    tail: DataFrame  # word, c, cls of all other training words
     total: int  # training tokens, ends included
     types: int  # distinct training tokens
-    transition: np.ndarray  # log10 P(class | class before)
+    transition: np.ndarray  # log10 P(class | class before); the last row after an unseen word
     discount: np.ndarray
     mass: np.ndarray  # tokens of each class
     unseen: np.ndarray  # log10 P(an unseen word | class before)
-    head: list[tuple[bytes, int, int]]  # word, c, cls of the most frequent
-
-
-def train(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, clustered: int = CLUSTERED, head: int = HEAD) -> Model:
-    """Learn from all given documents. Null texts are an end only; without any document all words are unseen."""
-    docs = common.long_texts(docs)
-    known = elect(docs, text_col, clustered)
-    label = exchange(bigrams(docs, text_col, known), classes)
-    counted = contexts(docs, text_col, known, label, classes)
-    names = [f"e{k}" for k in range(classes)]
-    # the classes' own transitions, over clustered words only, guide the other words' step
-    counted = common.materialize(counted)
-    mine = {w: int(k) for w, k in zip(known, label)}
-    rows = counted.where(F.col("word").isin(known)).toArrow() if known else None
-    prior = np.zeros((classes, classes))
-    for word, *e in zip(*(rows.column(k).to_pylist() for k in range(rows.num_columns))):
-        prior[:, mine[word]] += e
-    words = common.materialize(with_class(counted, known, label, prior))
-    common.drop(counted)
-    stats = words.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"), *(F.sum(x).alias(x) for x in names)).collect()
-    moves, mass, types, once, twice = np.zeros((classes, classes)), *(np.zeros(classes) for _ in range(4))
+
+    @property
+    def words(self) -> DataFrame:
+        """(word, c, cls): every training word once."""
+        rows = list(zip(self.head.words, self.head.counts.tolist(), self.label.tolist()))
+        return self.tail.sparkSession.createDataFrame(rows, "word binary, c long, cls int").union(self.tail)
+
+
+def fit(corpus: DataFrame, head: Head, classes: int = CLASSES, clustered: int = CLUSTERED, rounds: int = ROUNDS) -> Model:
+    """Classes and probabilities from an encoded corpus (all its rows)."""
+    seeds = min(clustered, len(head.words))
+    label = np.full(len(head.words), -1)
+    label[:seeds] = exchange(seed_bigrams(corpus, seeds), classes) if seeds else 0
+    pairs = common.materialize(tail_pairs(corpus).groupBy("one", "two").agg(F.count("*").alias("n")))
+    tail = None
+    for turn in range(rounds + 1):
+        cells, contexts, moves, met = _counted(corpus, pairs, label, tail, classes)
+        if turn == rounds:
+            break
+        gain = gains(moves)
+        rest = np.arange(seeds, len(label))
+        label[rest] = choose(cells[rest], gain)
+        old, tail = tail, common.materialize(contexts.mapInArrow(_move(gain), "word binary, c long, cls int"))
+        for frame in (met, old):
+            if frame is not None:
+                common.drop(frame)
+    common.drop(met)
+    common.drop(pairs)
+    return _model(head, label, tail, moves, classes)
+
+
+def _model(head: Head, label: np.ndarray, tail: DataFrame, moves: np.ndarray, classes: int) -> Model:
+    stats = tail.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).collect()
+    of_head = lambda weights: np.bincount(label, weights, classes)
+    mass, types, once, twice = of_head(head.counts), of_head(None).astype(float), of_head(head.counts == 1), of_head(head.counts == 2)
     for r in stats:
-        k = r["cls"]
-        moves[:, k] = [r[x] for x in names]
-        mass[k], types[k], once[k], twice[k] = r["n"], r["v"], r["n1"], r["n2"]
-    total = mass.sum()
+        for total, x in ((mass, "n"), (types, "v"), (once, "n1"), (twice, "n2")):
+            total[r["cls"]] += r[x]
     # every class but the end's can hold unseen words
     share = (mass + 0.5) / (mass + 0.5).sum()
-    transition = (moves + SMOOTH * share) / (moves.sum(1, keepdims=True) + SMOOTH)
+    transition = np.concatenate([(moves + SMOOTH * share) / (moves.sum(1, keepdims=True) + SMOOTH), share[None]])
     discount = np.clip(np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.01, 0.99)
     discount[0] = 0.0 if mass[0] else 1.0
     free = np.where(mass > 0, discount * types / np.maximum(mass, 1), 1.0)
     free[0] = 0.0 if mass[0] else 1.0
-    top = words.select("word", "c", "cls").orderBy(F.desc("c"), "word").limit(head).toArrow()
-    return Model(words, known, label, int(total), int(types.sum()), np.log10(transition), discount, mass, np.log10(np.maximum(transition @ free, 1e-300)), list(zip(*(top[x].to_pylist() for x in ("word", "c", "cls")))))
+    return Model(head, label, tail, int(mass.sum()), int(types.sum()), np.log10(transition), discount, mass, np.log10(np.maximum(transition @ free, 1e-300)))
+
+
+def train(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, clustered: int = CLUSTERED, head: int = HEAD, rounds: int = ROUNDS) -> Model:
+    """Learn from all given documents.
+
+    Null texts are an end only, repeated rows count as often as they occur, and
+    a text of any length is handled whole; without any document all words are
+    unseen. Ids are not read, so null or repeated ones change nothing.
+    """
+    words = head_of(word_counts(docs, text_col), max(head, clustered))
+    corpus = encode(docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text")), words, F.lit(True))
+    model = fit(corpus, words, classes, clustered, rounds)
+    common.drop(corpus)
+    return model
+
+
+def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """Learn from the rows where ``learn`` holds and score all rows: (the model, (id, learn, n_tokens, n_known, base_score, score))."""
+    words = head_of(word_counts(docs.where(learn), text_col), HEAD)
+    corpus = encode(docs, words, learn, id_col, text_col)
+    model = fit(corpus.where("learn"), words)
+    return model, _scored(corpus, model).withColumnRenamed("id", id_col)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) for every row; scores are log10 probabilities of whole texts.
 
-    Tokens among the model's most frequent words are scored in the pass over
-    the texts. The others leave it as (row, word, class before, count) and are
-    joined with the word table; those words are rare, so no key is hot.
+    One row out for one row in, also for null or repeated ids; a null text is an
+    end only. Other columns are dropped, so no name can clash.
     """
-    spark = docs.sparkSession
-    docs = common.long_texts(docs)
-    floor, norm = 0.5, model.total + 0.5 * (model.types + 1)
-    words = [w for w, _, _ in model.head]
-    c = np.array([x for _, x, _ in model.head], float)
-    cls = np.array([x for _, _, x in model.head], int)
+    corpus = encode(docs, model.head, F.lit(False), id_col, text_col)
+    return _scored(corpus, model).drop("learn").withColumnRenamed("id", id_col)
+
+
+def _scored(corpus: DataFrame, model: Model) -> DataFrame:
+    """Head words are scored in one pass; all others join the word table, as rows with the classes before and after them."""
+    floor, norm, classes = 0.5, model.total + 0.5 * (model.types + 1), len(model.mass)
+    c, label = model.head.counts, model.label
     with np.errstate(divide="ignore", invalid="ignore"):
-        emit = np.log10((c - model.discount[cls]) / model.mass[cls]) if len(c) else c
-    shared = spark.sparkContext.broadcast((words, np.log10((c + floor) / norm), cls, emit, model.clustered, model.label, model.transition))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, task int, nth long, word binary, before int, n long, n_tokens long, n_known long, base double, score double"
-
-    def scan(batches):
-        words, base_of, cls_of, emit_of, clustered, label, transition = shared.value
-        index = {w: k for k, w in enumerate(words)}
-        own = {w: int(k) for w, k in zip(clustered, label)}
-        group = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
-        away = {w: k for w, k in own.items() if w not in index}  # clustered words are frequent, but may miss the head
-        task, nth = TaskContext.get().partitionId(), -1
+        emit = np.log10((c - model.discount[label]) / model.mass[label])
+    shared = corpus.sparkSession.sparkContext.broadcast((label, np.log10((c + floor) / norm), emit, model.transition))
+    kind = corpus.schema["id"].dataType.simpleString()
+
+    def pass_over(batches):
+        label, base_of, emit_of, transition = shared.value
+        known = np.r_[label, 0, -1].astype(np.int64)  # ... of the start, of a word outside the head
+        for batch in batches:
+            ids, before, owner = _flat(batch.column(3))
+            seen = ids >= 0
+            here, cls, last = ids[seen], known[ids[seen]], known[before[seen]]
+            both = last >= 0
+            per_text = lambda at, weights=None: np.bincount(at, weights, batch.num_rows).astype(np.int64 if weights is None else float)
+            total = per_text(owner[seen], emit_of[here]) + per_text(owner[seen][both], transition[last[both], cls[both]])
+            yield pa.record_batch([*batch.columns[:3], *(pa.array(x) for x in (per_text(owner), per_text(owner[seen]), per_text(owner[seen], base_of[here]), total))], names=["row", "id", "learn", "n_tokens", "h_known", "h_base", "h_score"])
+
+    whole = corpus.select("row", "id", "learn", "ids").mapInArrow(pass_over, f"row long, id {kind}, learn boolean, n_tokens long, h_known long, h_base double, h_score double")
+
+    def others(batches):
+        known = np.r_[shared.value[0], 0, -1].astype(np.int32)
         for batch in batches:
-            out = [[] for _ in range(10)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                nth += 1
-                found = tokens(text)
-                ids = np.fromiter(map(index.get, found, repeat(-1)), np.int64, len(found))
-                seen = ids >= 0
-                klass = np.where(seen, group[ids], -1) if len(group) else np.full(len(ids), -1)
-                if away:
-                    klass = np.where(seen, klass, np.fromiter(map(away.get, found, repeat(-1)), np.int64, len(found)))
-                before = _last_known(klass)
-                hit = ids[seen]
-                rest = Counter(zip((found[k] for k in np.flatnonzero(~seen)), before[~seen].tolist()))
-                row = (doc, task, nth, b"\n%d" % (nth % 4096), 0, 0, len(found), len(hit), base_of[hit].sum(), (transition[before[seen], cls_of[hit]] + emit_of[hit]).sum())
-                for column, x in zip(out, row):
-                    column.append(x)
-                for (word, klass_before), n in rest.items():
-                    for column, x in zip(out, (doc, task, nth, word, klass_before, n, 0, 0, 0.0, 0.0)):
-                        column.append(x)
-            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, types)], names=[id_col, "task", "nth", "word", "before", "n", "n_tokens", "n_known", "base", "score"])
-
-    parts = docs.select(id_col, text_col).mapInArrow(scan, schema)
-    joined = parts.join(model.words.select("word", "c", "cls"), "word", "left")
-    seen = F.col("c").isNotNull()
-    look = lambda values, at: F.element_at(F.array(*(F.lit(float(x)) for x in values)), (at + 1).cast("int"))
-    classes = len(model.mass)
-    move = look(model.transition.reshape(-1), F.col("before") * classes + F.col("cls"))
-    known = move + F.log10((F.col("c") - look(model.discount, F.col("cls"))) / look(np.maximum(model.mass, 1), F.col("cls")))
-    base = F.log10((F.coalesce("c", F.lit(0)) + floor) / F.lit(norm))
-    return (
-        joined.groupBy(id_col, "task", "nth")
-        .agg(
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(seen, F.col("n")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + F.col("n") * base).alias("base_score"),
-            F.sum(F.col("score") + F.col("n") * F.when(seen, known).otherwise(look(model.unseen, F.col("before")))).alias("score"),
-        )
-        .drop("task", "nth")
+            ids, before, owner = _flat(batch.column(1))
+            at = np.flatnonzero(ids < 0)
+            rows = batch.column(0).to_numpy()[owner[at]]
+            words = [w for rest, n in zip(batch.column(2).to_pylist(), _tails(batch.column(1))) if n for w in rest.split(b" ")]
+            x, y = known[before[at]], known[np.r_[ids[1:], _TAIL][at]]
+            last = np.r_[owner[1:] != owner[:-1], True][at] if len(owner) else np.zeros(0, bool)
+            y[last] = -1  # without a corpus the end itself is unseen
+            for lo in range(0, len(at), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pa.record_batch([pa.array(rows[part]), pa.array(words[part], pa.binary()), pa.array(x[part]), pa.array(y[part])], names=["row", "word", "x", "y"])
+
+    look = lambda values, at: F.element_at(F.array(*(F.lit(float(x)) for x in values.reshape(-1))), (at + 1).cast("int"))
+    move = lambda a, b: look(model.transition, a * classes + b)
+    own, seen = F.coalesce("cls", F.lit(classes)), F.col("cls").isNotNull()
+    emission = F.log10((F.col("c") - look(model.discount, F.col("cls"))) / look(np.maximum(model.mass, 1), F.col("cls")))
+    into = F.when(F.col("x") < 0, 0.0).otherwise(F.when(seen, move(F.col("x"), F.col("cls"))).otherwise(look(model.unseen, F.col("x"))))
+    out = F.when(F.col("y") < 0, 0.0).otherwise(move(own, F.col("y")))
+    alone = (
+        corpus.select("row", "ids", "rest").mapInArrow(others, "row long, word binary, x int, y int").join(model.tail, "word", "left")
+        .select("row", seen.cast("long").alias("known"), F.log10((F.coalesce("c", F.lit(0)) + floor) / F.lit(norm)).alias("base"), (F.when(seen, emission).otherwise(0.0) + into + out).alias("score"))
+    )
+    classed = model.tail.select("word", "cls")
+    pairs = tail_pairs(corpus).join(classed.select(F.col("word").alias("one"), F.col("cls").alias("a")), "one", "left").join(classed.select(F.col("word").alias("two"), F.col("cls").alias("b")), "two", "left")
+    before = F.coalesce("a", F.lit(classes))
+    beside = pairs.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.when(F.col("b").isNull(), look(model.unseen, before)).otherwise(move(before, F.col("b"))).alias("score"))
+    rest = alone.union(beside).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("known", "base", "score")))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return whole.join(rest, "row", "left").select(
+        "id", "learn", "n_tokens", (F.col("h_known") + zero("known")).alias("n_known"), (F.col("h_base") + zero("base")).alias("base_score"), (F.col("h_score") + zero("score")).alias("score")
     )

@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,8 +187,8 @@ def contiguous(batches, keys: int = 1):
         whole = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
         cut = np.zeros(whole.num_rows, bool)
         for k in range(keys):
-            x = whole.column(k).to_numpy()
-            cut |= x != x[-1]
+            x = whole.column(k)
+            cut |= pc.not_equal(x, x[-1]).to_numpy()
         at = int(np.flatnonzero(cut)[-1]) + 1 if cut.any() else 0
         if at:
             yield whole.slice(0, at)

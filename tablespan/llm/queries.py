@@ -86,10 +86,8 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = F.coalesce(common.bucket5(F.col("doc_id")) == 1, F.lit(False))
-    model = class_lm.train(docs.where(~held_out))
-    return class_lm.score(docs, model).select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    model, scored = class_lm.train_and_score(docs, ~held_out)
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 @query

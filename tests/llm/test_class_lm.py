@@ -64,6 +64,60 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark):
     assert scores[0][99][:2] == (5, 3) and scores[0][5][:2] == (1, 1)
 
 
+def plain_score(model, train, texts):
+    """log10 probabilities from counts and classes alone, in plain loops."""
+    classes = {bytes(r["word"]): (r["c"], r["cls"]) for r in model.words.collect()}
+    k = len(model.mass)
+    counts, moves = Counter(), np.zeros((k, k))
+    for text in train:
+        before = 0
+        for t in class_lm.tokens(text):
+            counts[t] += 1
+            moves[before, classes[t][1]] += 1
+            before = classes[t][1]
+    assert {w: c for w, (c, _) in classes.items()} == counts
+    of = [[c for c, cls in classes.values() if cls == j] for j in range(k)]
+    mass = np.array([sum(x) for x in of], float)
+    share = (mass + 0.5) / (mass + 0.5).sum()
+    step = [*((moves + class_lm.SMOOTH * share) / (moves.sum(1, keepdims=True) + class_lm.SMOOTH)), share]
+    once, twice = ([sum(c == n for c in x) for x in of] for n in (1, 2))
+    cut = [0.0 if j == 0 else min(max(o / (o + 2 * t) if o else 0.5, 0.01), 0.99) for j, (o, t) in enumerate(zip(once, twice))]
+    free = [0.0 if j == 0 else cut[j] * len(of[j]) / mass[j] if mass[j] else 1.0 for j in range(k)]
+    out = []
+    for text in texts:
+        total, before = 0.0, 0
+        for t in class_lm.tokens(text):
+            c, cls = classes.get(t, (0, None))
+            p = step[before][cls] * (c - cut[cls]) / mass[cls] if c else sum(a * b for a, b in zip(step[before], free))
+            total, before = total + math.log10(p), k if cls is None else cls
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("options", [{"clustered": 50, "head": 60, "classes": 6}, {"clustered": 1024, "classes": 16}])
+def test_scores_equal_a_plain_model_on_any_partitioning(spark, sf_dir, options):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    learn, held = [t for i, t in rows if i % 3], [t for i, t in rows if not i % 3]
+    found = []
+    for parts in (1, 16):
+        model = class_lm.train(docs.where("doc_id % 3 <> 0").repartition(parts), **options)
+        kinds = {bytes(r["word"]): r["cls"] for r in model.words.collect()}
+        scores = {r["doc_id"]: r["score"] for r in class_lm.score(docs.repartition(parts), model).collect()}
+        found.append((kinds, scores))
+    assert found[0][0] == found[1][0] and len(set(kinds.values())) > 3
+    assert all(found[0][1][i] == pytest.approx(x, rel=1e-12) for i, x in scores.items())
+    plain = plain_score(model, learn, held)
+    assert [scores[i] for i, _ in rows if not i % 3] == pytest.approx(plain, rel=1e-9)
+
+
+def test_words_move_to_the_class_of_their_neighbours():
+    # two kinds that alternate: a third word that stands where the first kind stands joins it
+    moves = np.array([[0, 1, 1], [1, 0, 90], [1, 90, 0]])
+    contexts = np.array([[0, 0, 5, 0, 0, 5], [0, 5, 0, 0, 5, 0], [0, 0, 0, 0, 0, 0]])
+    assert class_lm.choose(contexts, class_lm.gains(moves)).tolist() == [1, 2, 1]
+
+
 def likelihood(table, label):
     one = np.eye(label.max() + 1)[label]
     pair = one.T @ table @ one
