@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -62,6 +63,35 @@ def test_constants_propagate():
     assert list(secret_scan.pairs("a == b")) is not None
 
 
+SYNTAX = [
+    'os.environ["SECRET"] = "@"', 'set("password", "@")', 'password = """@"""', "<password>@</password>", '<add key="password" value="@"/>', 'tokens = ["other-x1", "@"]',
+    "password: |\n  @\nother: 1", "passwords:\n  - first-x1\n  - @\n", 'password = "@" + "rest-of-it-9"', 'password: str = "@"', 'let apiKey: Optional[str] = "@";', "mysql --password @ -u x",
+    "export DB_PASSWORD=@", "{'api-key': '@'}", "url=http://h/?token=@", "don't say it: password = '@'", 'connect(host="x", password="@")', 'client_secret := "@"', "dbpassword => '@'", 'A1 = "@"\nB1 = A1\nlogin.token = B1',
+]
+
+
+@pytest.mark.parametrize("text", SYNTAX)
+def test_secret_syntax(text):
+    text = text.replace("@", "Zx81-qwerty-77")
+    assert "Zx81-qwerty-77" in {text[a:b] for a, _, b in secret_scan.literal_spans(text)}
+
+
+@pytest.mark.parametrize("text", ['tokenizer = "bert-base-uncased"', "author: Johnathan99", "max_tokens = 4096000", 'keyboard = "Qwerty-123456"', 'password = os.getenv("X")', "the key: Something99", 'token == "abc"', 'compass = "North-West-81"'])
+def test_names_are_matched_by_words(text):
+    assert secret_scan.literal_spans(text) == []
+
+
+@pytest.mark.parametrize("unit", ["a=", '\\"', '"\\"', '"""', "<a>", "token=[", "a.", "token:", "a'", "token:\n - a\n", '("a",', '+"b"', "token: |\n  a\n", "-", " ", "a= ", "--token "])
+def test_secret_scan_is_linear(unit):
+    seconds = []
+    for n in (50_000, 200_000):
+        text = 'token "' + unit * n
+        began = time.process_time()
+        secret_scan.spans_of(text)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 8 * seconds[0] + 1  # four times the text; a square would be sixteen times
+
+
 def test_secret_edges(edges):
     rows = secret_scan.find_secrets(edges).collect()
     assert len(rows) == len(EDGES) and all(r["spans"] == [] for r in rows)
