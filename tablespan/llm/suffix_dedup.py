@@ -4,13 +4,15 @@ The plan is the difference-cover one: name sampled suffixes by their prefixes,
 go on with names only, sort the remaining suffixes by (distance to their sample,
 prefix) and compare neighbours.
 
-1. Sampled suffixes get two names: the tuple of bytes at the sample, and the
-   stretch of text under all windows of 200 bytes that the sample answers for. A
-   sample whose tuple is unique has no repeated window; a stretch that occurs
-   twice consists of repeated windows only.
+1. Sampled suffixes get two names: the tuple of bytes at the sample (64 bits,
+   which only group), and the stretch of text under all windows of 200 bytes that
+   the sample answers for (128 bits of XXH3, which decide). A sample whose tuple
+   is unique has no repeated window; a stretch that occurs twice consists of
+   repeated windows only. In texts that repeat themselves, as a run of one byte
+   does, the samples of a text with equal names are rows of places at even steps.
 2. For the samples in between, at the borders of repeats, every window of the
-   sample is a suffix to sort: by tuple, distance and prefix. Equal neighbours
-   are repeats.
+   sample is a suffix to sort: by tuple, distance and prefix. Neighbours of equal
+   key are compared byte by byte; equal ones are repeats.
 
 Which suffixes are sampled is the cover, and both covers give the same result:
 
@@ -24,8 +26,11 @@ Which suffixes are sampled is the cover, and both covers give the same result:
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +97,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def samples(texts: list[bytes], cover: str):
-    """Arrays (text, start, count, lead, name, stretch): runs of windows that a sample answers for.
+    """Arrays (text, start, count, lead, name, s1, s2): runs of windows that a sample answers for.
 
-    ``start`` is the first window's, ``lead`` its distance to the sample, and
-    ``stretch`` names all text under the windows, with lead and count. Texts are
+    ``start`` is the first window's, ``lead`` its distance to the sample, and s1
+    and s2 name all text under the windows, with lead and count. Texts are
     laid end to end; windows across a border are left out. Windows of a text
     longer than a piece fall into pieces.
     """
@@ -111,19 +116,26 @@ def samples(texts: list[bytes], cover: str):
     if group:
         found.append(_samples(group, cover))
     if not found:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _samples(group, cover):
     sizes = np.array([len(x) for _, _, x in group])
-    raw = np.frombuffer(b"".join(x for _, _, x in group), np.uint8)
-    hashes, ends = _Hashes(raw), np.cumsum(sizes)
+    joined = b"".join(x for _, _, x in group)
+    hashes, ends = _Hashes(np.frombuffer(joined, np.uint8)), np.cumsum(sizes)
     offset = np.array([lo for _, lo, _ in group]) - np.r_[0, ends[:-1]]
     begin, count, sample, part, name = (_by_content if cover == "content" else _by_difference)(hashes, sizes, ends, offset)
     lead = sample - begin
-    stretch = _mix(hashes.of(begin, begin + count + LENGTH - 1) + (lead * 512 + count).astype(np.uint64))
-    return np.array([k for k, _, _ in group])[part], begin + offset[part], count, lead, name, stretch
+    stretch = _digests(joined, begin, begin + count + LENGTH - 1)
+    s1 = stretch[:, 0] ^ _mix((lead * 512 + count).astype(np.uint64))
+    return np.array([k for k, _, _ in group])[part], begin + offset[part], count, lead, name, s1, stretch[:, 1]
+
+
+def _digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 (n x 2, 128 bits) of substrings."""
+    digest, view = xxhash.xxh3_128_digest, memoryview(raw)
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist())]), np.uint64).reshape(-1, 2)
 
 
 def _by_content(hashes, sizes, ends, offset):
@@ -161,13 +173,13 @@ def _bytes(column) -> list[bytes]:
 
 
 def _classes(cover):
-    """(name, stretch, n): how often each pair occurs in this task."""
+    """(name, s1, s2, n): how often each occurs in this task."""
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            _, _, _, _, name, stretch = samples(_bytes(batch.column(0)), cover)
-            held.append(np.stack([name, stretch], 1))
+            *_, name, s1, s2 = samples(_bytes(batch.column(0)), cover)
+            held.append(np.stack([name, s1, s2], 1))
             size += len(name)
             if size > 2_000_000:
                 yield _counted(held)
@@ -180,9 +192,9 @@ def _classes(cover):
 
 def _counted(held):
     rows = np.concatenate(held)
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    rows = rows[np.lexsort(rows.T[::-1])]
     first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
-    return pa.record_batch([_long(np.ascontiguousarray(rows[first, 0])), _long(np.ascontiguousarray(rows[first, 1])), pa.array(np.diff(np.r_[first, len(rows)]))], names=["name", "stretch", "n"])
+    return pa.record_batch([*(_long(np.ascontiguousarray(rows[first, k])) for k in range(3)), pa.array(np.diff(np.r_[first, len(rows)]))], names=["name", "s1", "s2", "n"])
 
 
 def _pack(start, count, lead):
@@ -196,13 +208,33 @@ def _unpack(at):
 def _places(cover):
     def run(batches):
         for batch in batches:
-            owner, start, count, lead, name, stretch = samples(_bytes(batch.column(1)), cover)
-            row = batch.column(0).to_numpy()[owner]
-            yield pa.record_batch([_long(name), _long(stretch), pa.array(row), pa.array(_pack(start, count, lead))], names=["name", "stretch", "row", "at"])
+            owner, start, count, lead, name, s1, s2 = samples(_bytes(batch.column(1)), cover)
+            order = np.lexsort((start, s2, s1, name, owner))
+            owner, start, count, lead, name, s1, s2 = (x[order] for x in (owner, start, count, lead, name, s1, s2))
+            first, step, times = _steps([owner, name, s1, s2], start)
+            row = batch.column(0).to_numpy()[owner[first]]
+            columns = [_long(name[first]), _long(s1[first]), _long(s2[first]), pa.array(row), pa.array(_pack(start, count, lead)[first]), pa.array(step), pa.array(times)]
+            yield pa.record_batch(columns, names=["name", "s1", "s2", "row", "at", "step", "times"])
 
     return run
 
 
+def _steps(keys: list[np.ndarray], start: np.ndarray):
+    """Runs of equal keys whose starts go on in even steps: (index of the first, step, how many)."""
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.zeros(len(start), bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    step = np.r_[0, np.diff(start)]
+    step[new] = 0
+    turn = ~new & ~np.r_[True, new[:-1]] & (step != np.r_[0, step[:-1]])
+    first = np.flatnonzero(new | turn)
+    times = np.diff(np.r_[first, len(start)])
+    return first, np.where(times > 1, step[np.minimum(first + 1, len(start) - 1)], 0), times
+
+
 _CONTEXT = "name long, crowd boolean, row long, at long, open boolean, context binary"
 
 
@@ -220,16 +252,13 @@ def _contexts(batches):
 
 
 def _windows(rows):
-    """(index of the row, window within it, name of name, distance and prefix)."""
-    start, count, lead = _unpack(rows.column("at").to_numpy())
+    """(index of the row, window within it, place of the window in all contexts, contexts end to end)."""
+    _, count, _ = _unpack(rows.column("at").to_numpy())
     texts = rows.column("context").to_pylist()
     begin = np.r_[0, np.cumsum([len(x) for x in texts])[:-1]]
-    hashes = _Hashes(np.frombuffer(b"".join(texts), np.uint8))
     index = np.repeat(np.arange(len(count)), count)
     nth = np.arange(len(index)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-    at = begin[index] + nth
-    name = rows.column("name").to_numpy().view(np.uint64)[index]
-    return index, nth, _mix(hashes.of(at, at + LENGTH) + _mix(name + (lead[index] - nth).astype(np.uint64)))
+    return index, nth, begin[index] + nth, b"".join(texts)
 
 
 def _runs(rows, index, nth):
@@ -243,22 +272,50 @@ def _runs(rows, index, nth):
 def _sorted_names(batches):
     """Sort the windows of each name and compare neighbours; rows come sorted by name."""
     for rows in common.contiguous(batches):
-        index, nth, key = _windows(rows)
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[order] = np.r_[same, False] | np.r_[False, same]
+        index, nth, at, raw = _windows(rows)
+        lead = _unpack(rows.column("at").to_numpy())[2][index] - nth
+        name = rows.column("name").to_numpy().view(np.uint64)[index]
+        key = _mix(_Hashes(np.frombuffer(raw, np.uint8)).of(at, at + LENGTH) + _mix(name + lead.astype(np.uint64)))
+        twice = _repeated(key, at, raw)
         twice &= rows.column("open").to_numpy()[index]
         yield _runs(rows, index[twice], nth[twice])
 
 
+def _repeated(key: np.ndarray, at: np.ndarray, raw: bytes) -> np.ndarray:
+    """Which windows occur twice: sorted by key, neighbours of equal key compared byte by byte."""
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    twice, places = np.zeros(len(key), bool), at[order].tolist()
+    pairs = np.flatnonzero(same)
+    equal = np.fromiter((raw[places[k] : places[k] + LENGTH] == raw[places[k + 1] : places[k + 1] + LENGTH] for k in pairs.tolist()), bool, len(pairs))
+    if equal.all():
+        twice[order] = np.r_[same, False] | np.r_[False, same]
+        return twice
+    # keys of different windows that agree: by their bytes
+    run = np.cumsum(np.r_[True, ~same])
+    seen = Counter(zip(run.tolist(), (raw[p : p + LENGTH] for p in places)))
+    twice[order] = [seen[r, raw[p : p + LENGTH]] > 1 for r, p in zip(run.tolist(), places)]
+    return twice
+
+
 def _each_window(batches):
     for batch in batches:
         if batch.num_rows:
             batch = pa.Table.from_batches([batch])
-            index, nth, key = _windows(batch)
-            start = _unpack(batch.column("at").to_numpy())[0]
-            yield pa.record_batch([_long(key), pa.array(batch.column("row").to_numpy()[index]), pa.array(_pack(start[index] + nth, np.ones(len(nth), np.int64), 0)), pa.array(batch.column("open").to_numpy()[index])], names=["key", "row", "at", "open"])
+            index, nth, at, raw = _windows(batch)
+            key = _digests(raw, at, at + LENGTH)
+            start, _, lead = _unpack(batch.column("at").to_numpy())
+            # the tuple and the distance to it belong to the key: a cover may give a window several samples
+            name = batch.column("name").to_numpy().view(np.uint64)[index]
+            key = np.stack([key[:, 0] ^ _mix(name + (lead[index] - nth).astype(np.uint64)), key[:, 1]], 1)
+            yield pa.record_batch([*(_long(np.ascontiguousarray(key[:, k])) for k in (0, 1)), pa.array(batch.column("row").to_numpy()[index]), pa.array(_pack(start[index] + nth, np.ones(len(nth), np.int64), 0)), pa.array(batch.column("open").to_numpy()[index])], names=["k1", "k2", "row", "at", "open"])
+
+
+def _spread(found: list[dict]) -> np.ndarray:
+    """All places of runs at even steps, sorted."""
+    at, step, times = (np.array([x[k] for x in found], np.int64) for k in ("at", "step", "times"))
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.sort(np.repeat(at, times) + (nth * np.repeat(step, times) << 16))
 
 
 def _cut(batches):
@@ -270,7 +327,7 @@ def _cut(batches):
                 kept.append(text)
                 spans.append([])
                 continue
-            start, count, _ = _unpack(np.sort(np.array(found, np.int64)))
+            start, count, _ = _unpack(_spread(found))
             end = np.maximum.accumulate(start + count + LENGTH - 1)
             first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
             lo, hi = start[first], end[np.r_[first[1:] - 1, len(end) - 1]]
@@ -290,30 +347,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cro
     """
     if cover not in ("content", "difference"):
         raise ValueError(f"a cover is content or difference, not {cover}")
-    common.long_texts(docs)
     # the texts are dealt out once; each later join with them moves the other side only
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     texts, table = common.bucketed(rows, "row")
 
-    counted = texts.select("text").mapInArrow(_classes(cover), "name long, stretch long, n long").repartition("name")
-    pairs = counted.groupBy("name", "stretch").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(_classes(cover), "name long, s1 long, s2 long, n long")
+    pairs = counted.groupBy("name", "s1", "s2").agg(F.sum("n").alias("n"))
     totals = pairs.groupBy("name").agg(F.sum("n").alias("total"), F.max(F.col("n") == 1).alias("border")).where("total > 1")
-    live = common.materialize(pairs.join(totals, "name").select("name", "stretch", (F.col("n") > 1).alias("same"), "border", (F.col("total") > crowd).alias("crowd")))
+    live = common.materialize(pairs.join(totals, "name").select("name", "s1", "s2", (F.col("n") > 1).alias("same"), "border", (F.col("total") > crowd).alias("crowd")))
 
-    places = texts.select("row", "text").mapInArrow(_places(cover), "name long, stretch long, row long, at long")
-    placed = common.materialize(places.join(live, ["name", "stretch"]))
+    places = texts.select("row", "text").mapInArrow(_places(cover), "name long, s1 long, s2 long, row long, at long, step long, times long")
+    placed = common.materialize(places.join(live, ["name", "s1", "s2"]))
     # at borders, one member stands for all of a repeated stretch: only what is open needs an answer
-    stands = placed.where("border and same").groupBy("name", "stretch").agg(F.min(F.struct("row", "at", "crowd")).alias("m")).select("m.row", "m.at", "name", "m.crowd", F.lit(False).alias("open"))
+    stands = placed.where("border and same").groupBy("name", "s1", "s2").agg(F.min(F.struct("row", "at", "crowd")).alias("m")).select("m.row", "m.at", "name", "m.crowd", F.lit(False).alias("open"))
     border = placed.where("border and not same").select("row", "at", "name", "crowd", F.lit(True).alias("open")).unionByName(stands)
     border = border.groupBy("row").agg(F.collect_list(F.struct("name", "crowd", "at", "open")).alias("borders"))
     context = common.materialize(texts.join(border, "row").select("row", "text", "borders").mapInArrow(_contexts, _CONTEXT))
     small = context.where("not crowd").repartition("name").sortWithinPartitions("name").mapInArrow(_sorted_names, "row long, at long")
-    each = context.where("crowd").mapInArrow(_each_window, "key long, row long, at long, open boolean")
+    each = context.where("crowd").mapInArrow(_each_window, "k1 long, k2 long, row long, at long, open boolean")
     # written first, so that the join can split the windows of a very frequent string
-    twice = common.materialize(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    large = each.where("open").join(twice, "key", "left_semi").select("row", "at")
+    twice = common.materialize(each.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
+    large = each.where("open").join(twice, ["k1", "k2"], "left_semi").select("row", "at")
 
-    windows = placed.where("same").select("row", "at").union(small).union(large).groupBy("row").agg(F.collect_list("at").alias("found"))
+    alone = small.union(large).select("row", "at", F.lit(0).cast("long").alias("step"), F.lit(1).cast("long").alias("times"))
+    windows = placed.where("same").select("row", "at", "step", "times").union(alone).groupBy("row").agg(F.collect_list(F.struct("at", "step", "times")).alias("found"))
     id_type = docs.schema[id_col].dataType.simpleString()
     joined = texts.join(windows, "row", "left").select("id", "text", "found")
     return joined.mapInArrow(_cut, f"id {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"), table

@@ -75,6 +75,35 @@ def test_long_texts_fall_into_pieces(spark):
     assert found[1][:3] == (1_600_001, 1_400_000, 2) and found[2][:3] == (402, 400, 1)
 
 
+def test_a_run_of_one_byte_is_few_rows():
+    import pyarrow as pa
+
+    for text in ("a" * 100_000, "ab" * 50_000, "abcde" * 20_000):
+        batch = pa.record_batch([pa.array([1]), pa.array([text])], names=["row", "text"])
+        rows = pa.Table.from_batches(suffix_dedup._places("content")([batch]))
+        period = len(set(text))
+        assert rows.num_rows <= 3 * period + 3 and sum(rows.column("times").to_pylist()) > 10_000 / period
+
+
+def test_equal_keys_are_compared_by_bytes():
+    # Thue-Morse words of equal length agree in many low bits modulo 2**64; here all keys are forced to agree
+    import numpy as np
+
+    windows = [b"x" * 200, b"y" * 200, b"x" * 200, b"z" * 200]
+    twice = suffix_dedup._repeated(np.zeros(4, np.uint64), np.arange(4) * 200, b"".join(windows))
+    assert twice.tolist() == [True, False, True, False]
+
+
+def test_repeats_of_thue_morse(spark):
+    word = "01"
+    for _ in range(9):
+        word += word.translate(str.maketrans("01", "10"))
+    other = word.translate(str.maketrans("01", "10"))
+    texts = [word[:300], other[:300], "q" + word[:256], "r" + other[:256], word[:256] + other[:256]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(removed(spark, df)) == dict(enumerate(brute([t.encode() for t in texts])))
+
+
 def test_unknown_cover(spark):
     with pytest.raises(ValueError):
         suffix_dedup.repeats(spark.createDataFrame([], "doc_id long, text string"), cover="none")
