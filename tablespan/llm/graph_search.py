@@ -3,8 +3,10 @@
 Equal vectors are indexed once. The graph starts from blocks of vectors that are
 next to each other along random projections; then each round joins every node's
 neighbours (in both directions) with their vectors, compares them with one
-another and keeps each node's nearest. A query keeps a pool of its nearest nodes
-found and expands those not yet expanded until none is left.
+another and keeps each node's nearest. Rounds go on until few edges are new. A
+node with very many neighbours is dealt out in slices, at random each round. A
+query keeps a pool of its nearest nodes found and expands those not yet expanded
+until none is left.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 NEIGHBOURS = 20
-ROUNDS = 3
+#: Rounds end when no more than SETTLED of all edges are new, or after ROUNDS.
+ROUNDS, SETTLED = 8, 0.03
 PROJECTIONS = 4
 BLOCK = 1024
 POOL = 300
@@ -40,16 +43,16 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 
 def _encode(x: np.ndarray) -> list[bytes]:
-    """Half-precision components relative to the largest, which goes before them."""
-    scale = np.abs(x).max(1)
-    half = (x / scale[:, None]).astype(np.float16)
-    return [s.tobytes() + h.tobytes() for s, h in zip(scale, half)]
+    """Single-precision components relative to a power of two near the largest, which goes before them: exact for single-precision vectors."""
+    scale = np.exp2(np.floor(np.log2(np.abs(x).max(1))))
+    single = (x / scale[:, None]).astype(np.float32)
+    return [s.tobytes() + h.tobytes() for s, h in zip(scale, single)]
 
 
 def _decode(codes: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
     scale = np.ascontiguousarray(raw[:, :8]).view(np.float64)
-    return np.ascontiguousarray(raw[:, 8:]).view(np.float16).astype(np.float64) * scale
+    return np.ascontiguousarray(raw[:, 8:]).view(np.float32).astype(np.float64) * scale
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,20 +135,18 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _local_join(batches):
-    """For each node, its neighbours compared with one another: candidates nearer than the farthest each knows."""
-    for rows in common.contiguous(batches):
-        at, other, fresh, limit = (rows.column(x).to_numpy() for x in ("at", "other", "fresh", "far"))
+    """For each slice of a node's neighbours, these compared with one another: candidates nearer than the farthest each knows."""
+    for rows in common.contiguous(batches, 2):
+        at, part, other, fresh, limit = (rows.column(x).to_numpy() for x in ("at", "part", "other", "fresh", "far"))
         x = _decode(rows.column("code").to_pylist())
-        edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+        edges = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (part[1:] != part[:-1]), True])
         out = []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            for a in range(lo, hi, _SLICE):
-                b = min(a + _SLICE, hi)
-                if not fresh[a:b].any():
-                    continue
-                d = _squares(x[a:b], x[a:b])
-                i, j = np.nonzero((d < limit[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]) & (other[a:b, None] != other[None, a:b]))
-                out.append((other[a:b][i], other[a:b][j], d[i, j]))
+        for a, b in zip(edges[:-1], edges[1:]):
+            if not fresh[a:b].any():
+                continue
+            d = _squares(x[a:b], x[a:b])
+            i, j = np.nonzero((d < limit[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]) & (other[a:b, None] != other[None, a:b]))
+            out.append((other[a:b][i], other[a:b][j], d[i, j]))
         if out:
             node, nb, d = (np.concatenate(c) for c in zip(*out))
             yield _batch(node, nb, d, np.ones(len(node), bool))
@@ -161,30 +162,43 @@ def build(codes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, projectio
     for turn in range(rounds):
         far = graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n"))
         members = codes.join(far, "node").select(F.col("node").alias("other"), "code", F.when(F.col("n") < k, float("inf")).otherwise(F.col("far")).alias("far"))
-        ends = F.array(F.struct(F.col("node").alias("at"), F.col("nb").alias("other"), "fresh"), F.struct(F.col("nb").alias("at"), F.col("node").alias("other"), "fresh"))
-        both = graph.select(F.explode(ends).alias("e")).select("e.*").groupBy("at", "other").agg(F.max("fresh").alias("fresh"))
-        met = both.join(members, "other").withColumn("salt", F.xxhash64(F.lit(turn), "other"))
-        met = met.repartition("at").sortWithinPartitions("at", "salt").select("at", "other", "fresh", "far", "code")
+        both = _sliced(_both_ways(graph).groupBy("at", "other").agg(F.max("fresh").alias("fresh")), graph, k, turn)
+        met = both.join(members, "other").repartition("at", "part").sortWithinPartitions("at", "part").select("at", "part", "other", "fresh", "far", "code")
         found = met.mapInArrow(_local_join, _FLAT)
         graph = common.checkpoint(_nearest(graph.withColumn("fresh", F.lit(False)).union(found), k))
+        edges = graph.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
+        if edges["fresh"] <= SETTLED * edges["n"]:
+            break
     return graph
 
 
+def _both_ways(graph: DataFrame) -> DataFrame:
+    ends = F.array(F.struct(F.col("node").alias("at"), F.col("nb").alias("other"), "fresh"), F.struct(F.col("nb").alias("at"), F.col("node").alias("other"), "fresh"))
+    return graph.select(F.explode(ends).alias("e")).select("e.*")
+
+
+def _sliced(both: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
+    """Add part: the neighbours of a node with over _SLICE of them fall at random into slices of about that many."""
+    hubs = graph.groupBy(F.col("nb").alias("at")).agg(F.ceil((F.count("*") + k) / _SLICE).alias("parts")).where("parts > 1")
+    own = F.pmod(F.xxhash64(F.lit(turn), "other"), F.coalesce("parts", F.lit(1)))
+    return both.join(hubs, "at", "left").withColumn("part", own).drop("parts")
+
+
 def _pack(batches):
-    """Neighbours of a node as arrays, at most _SLICE to a row."""
-    for rows in common.contiguous(batches):
-        at, other = rows.column("at").to_numpy(), rows.column("other").to_numpy()
+    """Neighbours of a node as arrays, a slice to a row."""
+    for rows in common.contiguous(batches, 2):
+        at, part, other = (rows.column(x).to_numpy() for x in ("at", "part", "other"))
         codes = rows.column("code").to_pylist()
-        edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
-        cuts = [(a, min(a + _SLICE, hi)) for lo, hi in zip(edges[:-1], edges[1:]) for a in range(lo, hi, _SLICE)]
+        edges = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (part[1:] != part[:-1]), True])
+        cuts = list(zip(edges[:-1], edges[1:]))
         yield pa.record_batch([pa.array(at[[a for a, _ in cuts]]), pa.array([other[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([b"".join(codes[a:b]) for a, b in cuts], pa.binary())], names=["node", "nbs", "codes"])
 
 
 def adjacency(graph: DataFrame, codes: DataFrame) -> DataFrame:
     """(node, nbs, codes): each node's neighbours in either direction with their vectors' codes."""
-    both = graph.select(F.explode(F.array(F.struct(F.col("node").alias("at"), F.col("nb").alias("node")), F.struct(F.col("nb").alias("at"), "node"))).alias("e")).select("e.*").distinct()
-    met = both.join(codes.select("node", "code"), "node").select("at", F.col("node").alias("other"), "code")
-    return met.repartition("at").sortWithinPartitions("at").mapInArrow(_pack, "node long, nbs binary, codes binary")
+    both = _sliced(_both_ways(graph).select("at", "other").distinct(), graph, NEIGHBOURS, 0)
+    met = both.join(codes.select(F.col("node").alias("other"), "code"), "other")
+    return met.repartition("at", "part").sortWithinPartitions("at", "part").select("at", "part", "other", "code").mapInArrow(_pack, "node long, nbs binary, codes binary")
 
 
 _STATE = pa.schema([("query", pa.int64()), ("code", pa.binary()), ("ids", pa.binary()), ("ds", pa.binary()), ("done", pa.binary())])
@@ -282,14 +296,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_
     """
     rows = usable(vectors, id_col, vec_col).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
     keyed = rows.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit("second"), "vec"))
-    keyed = common.materialize(keyed)
+    keyed = common.materialize(keyed.dropDuplicates(["h1", "h2", "id"]))
     ranked = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("nth") <= k + 2)
     members = common.materialize(ranked)
     nodes = members.where("nth = 1").select(F.col("id").alias("node"), "h1", "h2", "vec")
     codes = common.materialize(encoded(nodes, PROJECTIONS))
     # the graph is laid out by node once; each step of the walk moves the frontier only
     links, laid_out = common.bucketed(adjacency(build(codes, neighbours, rounds), codes), "node")
-    asked = keyed.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "h1", "h2", F.col("vec").alias("q")).dropDuplicates(["query_id", "h1", "h2"])
+    asked = keyed.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "h1", "h2", F.col("vec").alias("q"))
     asked = asked.join(nodes.select("node", "h1", "h2"), ["h1", "h2"]).select("query_id", "q", F.col("node").alias("rep"))
     starts = asked.select(F.col("rep").alias("node")).distinct().join(codes, "node").select(F.col("node").alias("query"), "code")
     best = common.checkpoint(walk(starts, links, pool).mapInArrow(_top(RERANK), "rep long, node long"))

@@ -53,6 +53,22 @@ def test_walk_finds_what_blocks_do_not_hold(spark, monkeypatch):
     assert recall(answers(graph_search.search(df, neighbours=12, pool=120)), ids, x) >= 0.9
 
 
+def test_recall_on_many_vectors(spark):
+    """Over twenty blocks, with hubs: a dense centre that is near to everything, and near copies."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 24))
+    x = np.concatenate([centres[rng.integers(0, 300, 18_000)] + 0.3 * rng.normal(size=(18_000, 24)), 0.05 * rng.normal(size=(3000, 24)), centres[0] + 1e-5 * rng.normal(size=(500, 24))]).astype(np.float32).astype(float)
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(8)
+    assert recall(answers(graph_search.search(df)), ids, x) >= 0.95
+
+
+def test_an_id_with_many_equal_rows_hides_no_other(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(k, [1.0, 0.0]) for k in range(2, 12)] + [(100, [1.0, 0.1])]
+    found = answers(graph_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert [v for v, _ in found[100]] == list(range(1, 11))
+
+
 def test_equal_vectors(spark):
     rows = [(k, [1.0, 0.0]) for k in range(0, 300, 3)] + [(k, [0.0, 1.0 + k]) for k in range(1, 300, 30)] + [(100, [1.0, 1.0])]
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
