@@ -37,7 +37,7 @@ CLASSES = 16
 #: Words that start the exchange; a square table of their bigrams reaches the driver.
 CLUSTERED = 1024
 #: Frequent words that are known by number everywhere; all others are shuffled.
-HEAD = 1 << 18
+HEAD = 1 << 17
 #: Rounds in which all other words move.
 ROUNDS = 2
 SWEEPS = 12
@@ -62,7 +62,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches):
         seen = Counter()
-        for batch in batches:
+        for batch in common.sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(tokens(text))
                 if len(seen) > _FLUSH:
@@ -96,7 +96,7 @@ def encode(docs: DataFrame, head: Head, learn: Column, id_col: str = "doc_id", t
 
     def run(batches):
         index = {w: k for k, w in enumerate(shared.value)}
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, rest = [], []
             for text in batch.column(3).to_pylist():
                 words = tokens(text)
@@ -125,7 +125,7 @@ def seed_bigrams(corpus: DataFrame, n: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(n * n, np.int64)
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, before, _ = _flat(batch.column(0))
             before = np.where(before == _START, 0, before)
             both = (ids >= 0) & (ids < n) & (before >= 0) & (before < n)
@@ -206,25 +206,25 @@ class _Cells:
     """Counts of (head word, class before or after) in one task, sent as blocks of words."""
 
     def __init__(self, size: int, width: int):
-        self.width, self.cells, self.held, self.n = width, np.zeros(-(-max(size, 1) // _BLOCK) * _BLOCK * width, np.int64), [], 0
+        self.width, self.cells, self.held, self.n = width, np.zeros(-(-max(size, 1) // _BLOCK) * _BLOCK * width, np.uint32), [], 0
 
     def add(self, word: np.ndarray, cell: np.ndarray):
         self.held.append(word * self.width + cell)
         self.n += len(word)
-        if self.n > 2_000_000:
+        if self.n > 1_000_000:
             self.settle()
 
     def settle(self):
         if self.held:
             at, n = np.unique(np.concatenate(self.held), return_counts=True)
-            self.cells[at] += n
+            self.cells[at] += n.astype(np.uint32)
             self.held, self.n = [], 0
 
     def blocks(self):
         self.settle()
         for k, block in enumerate(self.cells.reshape(-1, _BLOCK * self.width)):
             if block.any():
-                yield k, block.tobytes()
+                yield k, block.astype(np.int64).tobytes()
 
 
 def _summed(blocks: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _head_contexts(corpus: DataFrame, label, classes: int) -> DataFrame:
     def count(batches):
         own = label.value
         cells = _Cells(len(own), 2 * classes)
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, before, _ = _flat(batch.column(0))
             first = (before == _START) & (ids >= 0)
             cells.add(ids[first], np.zeros(first.sum(), np.int64))
@@ -267,7 +267,7 @@ def _occurrences(corpus: DataFrame) -> DataFrame:
     """(word, kind, x, y, n): each occurrence of a word outside the head between two numbers."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, before, _ = _flat(batch.column(0))
             at = np.flatnonzero(ids < 0)
             after = np.r_[ids[1:], _TAIL][at]
@@ -288,7 +288,7 @@ def tail_pairs(corpus: DataFrame) -> DataFrame:
     """(row, one, two): words outside the head straight after one another."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             out = [[], [], []]
             for row, ids, rest in zip(*(column.to_pylist() for column in batch.columns)):
                 at = np.flatnonzero(np.frombuffer(ids, np.int32) < 0)
@@ -490,7 +490,7 @@ def _scored(corpus: DataFrame, model: Model) -> DataFrame:
     def pass_over(batches):
         label, base_of, emit_of, transition = shared.value
         known = np.r_[label, 0, -1].astype(np.int64)  # ... of the start, of a word outside the head
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, before, owner = _flat(batch.column(3))
             seen = ids >= 0
             here, cls, last = ids[seen], known[ids[seen]], known[before[seen]]
@@ -503,7 +503,7 @@ def _scored(corpus: DataFrame, model: Model) -> DataFrame:
 
     def others(batches):
         known = np.r_[shared.value[0], 0, -1].astype(np.int32)
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids, before, owner = _flat(batch.column(1))
             at = np.flatnonzero(ids < 0)
             rows = batch.column(0).to_numpy()[owner[at]]

@@ -178,6 +178,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def sliced(batches, rows: int = 500):
+    """Batches a few rows at a time: what is made of them stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def contiguous(batches, keys: int = 1):
     """Regroup sorted Arrow batches so that no run of equal leading key columns is cut."""
     held = None
