@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,46 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only in local mode, as in tests, where it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
     return context.getCheckpointDir()
 
 
+#: What was written since a call of ``finished`` began, innermost call last: paths, and names of tables.
+_written: list[list[tuple[str, str]]] = []
+
+
+def _note(kind: str, name: str) -> None:
+    if _written:
+        _written[-1].append((kind, name))
+
+
+def finished(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """Materialize what ``build`` returns, then delete all that was materialized for it, also if it fails."""
+    _written.append([])
+    try:
+        done = materialize(build())
+        result = _written[-1].pop()
+    finally:
+        for kind, name in _written.pop():
+            if kind == "table":
+                spark.sql(f"drop table if exists {name}")
+            else:
+                _delete(spark, name)
+    _note(*result)
+    return done
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small iterative frame through the shared folder."""
     shared_dir(df.sparkSession)
@@ -56,40 +91,29 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: later steps start from files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _note("path", path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a materialized frame that nothing reads any more."""
-    spark = df.sparkSession
     for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
 
 
 def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     """A frame written to the warehouse, laid out by a key, and its name: joins on the key move the other side only."""
     spark = df.sparkSession
     parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"working_{uuid.uuid4().hex}"
+    _note("table", name)
     df.repartition(parts, key).write.bucketBy(parts, key).option("compression", "zstd").saveAsTable(name)
     return spark.table(name), name
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
     """Drop a working table that nothing reads any more."""
-    spark.sql(f"drop table {name}")
-
-
-def long_texts(df: DataFrame) -> DataFrame:
-    """Send Python workers few rows at a time: with long texts that bounds their memory.
-
-    A batch size that the session has set itself is left alone.
-    """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return df
+    spark.sql(f"drop table if exists {name}")
 
 
 def neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -124,7 +124,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
 
     First is by id, then line; null ids come last. A document that loses every
     line goes; one that loses none keeps its text byte for byte, null included.
-    Of rows that repeat both id and text one stays.
+    Rows that repeat both id and text are one document and all stay, with the
+    same text. Any text length is handled; an empty table gives an empty one.
     """
     inner, names = common.neutral(docs)
     own_id, text = names[id_col], names[text_col]
@@ -144,7 +145,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
     kept = F.array_join(F.transform(left, lambda k: F.element_at(split, k + 1)), "\n")
     whole = F.col("gone").isNull()
-    joined = joined.withColumn("n_left", F.when(whole, 1).otherwise(F.size(left))).where("n_left > 0").dropDuplicates([own_id, "own_variant"])
+    joined = joined.withColumn("n_left", F.when(whole, 1).otherwise(F.size(left))).where("n_left > 0")
     joined = joined.withColumn(text, F.when(whole, F.col(text)).otherwise(kept))
     if "n_chars" in names:
         joined = joined.withColumn(names["n_chars"], F.when(whole, F.col(names["n_chars"])).otherwise(F.length(text).cast("long")))

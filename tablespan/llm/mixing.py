@@ -16,19 +16,20 @@ PART = 500.0
 _UNIT = 2.0**-53
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", temper: float = 0.5) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", temper: float = 0.5) -> DataFrame:
     """(source, rate): the mean number of copies that brings each source to its share of the documents.
 
     Without weights a source's target is its count to the power ``temper``.
     Sources that the weights do not name get none. The total stays the same.
-    A null source is a source of its own.
+    A null source is a source of its own, not that of the empty name; weights name it by None.
     """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         counts = counts.withColumn("weight", F.pow("n", F.lit(temper)))
     else:
-        given = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.create_map(F.lit(""), F.lit(0.0))
-        counts = counts.withColumn("weight", F.coalesce(given[F.coalesce("source", F.lit(""))], F.lit(0.0)))
+        given = F.create_map(*(F.lit(x) for pair in {"": 0.0, **weights}.items() if pair[0] is not None for x in pair))
+        named = F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 0.0)))).otherwise(given[F.col("source")])
+        counts = counts.withColumn("weight", F.coalesce(named, F.lit(0.0)))
     whole = counts.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
     if not whole["weight"]:
         return counts.select("source", F.lit(0.0).alias("rate"))
@@ -59,7 +60,7 @@ def copies_of(rate, hashed):
     return F.when(rate > PART, many).otherwise(poisson_count(rate, unit(hashed)))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", temper: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", temper: float = 0.5) -> DataFrame:
     """Each document as often as a Poisson draw with its source's rate says, in one global random order.
 
     The draw is a hash of seed, id and text, so the rows do not depend on the

@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) with fp the fingerprint as a signed long. Null and empty texts have 0."""
 
     def scan(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             found = np.fromiter((simhash(x, words) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
@@ -125,12 +125,12 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return [*_wide(hashes), *bands(distinct), xxhash.xxh64_intdigest(distinct.tobytes(), SEED)]
 
     def scan(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             found = np.array([row(x) for x in batch.column(2).to_pylist()], np.uint64).reshape(batch.num_rows, MEASURE + LANES + BANDS + 1)
             fp, key = (pa.array(found[:, k].copy().view(np.int64)) for k in (0, -1))
             yield pa.record_batch([batch.column(0), batch.column(1), fp, key, pa.array([x.tobytes() for x in found[:, :-1]], pa.binary())], names=[id_col, "variant", "fp", "key", "wide"])
 
-    rows = common.long_texts(docs).select(id_col, F.xxhash64(text_col).alias("variant"), text_col)
+    rows = docs.select(id_col, F.xxhash64(text_col).alias("variant"), text_col)
     return rows.mapInArrow(scan, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, variant long, fp long, key long, wide binary")
 
 
@@ -371,7 +371,10 @@ def _linked(replicas: DataFrame, bits: int, block: int, sure: int | None = None,
 
 
 def similar_links(printed: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(a, b, sure): pairs of keys (printed: key, wide) that may have this similarity or more; sure if they hardly have less.
+    """(a, b, sure): forests of keys (printed: key, wide) that may have this similarity or more; sure if they hardly have less.
+
+    Keys are digests of shingle sets, so null ids, repeated rows and very long
+    texts make no difference here; null and empty texts share one key.
 
     At a common anchor the words to measure by may differ in the expected number
     of bits and LAX standard deviations.
@@ -403,7 +406,7 @@ def shingle_sets(keys: DataFrame, printed: DataFrame, docs: DataFrame, text_col:
     """(key, grams): the distinct shingles' hashes of these keys, sorted. One text of each key is read."""
 
     def shingles(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             sets = [np.unique(_shingle_hashes(x, words)).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["key", "grams"])
 
@@ -552,7 +555,7 @@ def groups(docs: DataFrame, bits: int = BITS, words: int | None = None, similari
     give repeated rows.
     """
     if similarity is None:
-        printed = common.materialize(fingerprints(common.long_texts(docs), id_col, text_col, words or WORDS)).withColumn("key", F.col("fp"))
+        printed = common.materialize(fingerprints(docs, id_col, text_col, words or WORDS)).withColumn("key", F.col("fp"))
         joined = common.components(links(printed.select("fp").distinct(), bits))
     else:
         printed = common.materialize(wide_fingerprints(docs, id_col, text_col, words or SIMILAR_WORDS))

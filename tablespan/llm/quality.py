@@ -181,15 +181,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, kept columns, score) for every row, in one narrow pass over whole texts; null text counts as empty."""
+    """(id, kept columns, score) for every row, in one narrow pass over whole texts.
+
+    Null text counts as empty; null and repeated ids and repeated rows stay as
+    they are; a very long text is handled in parts and never cut.
+    """
     keep = [c for c in (keep or []) if c not in (id_col, "score")]
 
     def scan(batches):
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = [(x or "").encode() for x in batch.column(0).to_pylist()]
             yield pa.record_batch([*batch.columns[1:], pa.array(probabilities(net, texts))], names=[*batch.schema.names[1:], "score"])
 
-    rows = common.long_texts(docs).select(F.col(text_col).alias("_t"), id_col, *keep)
+    rows = docs.select(F.col(text_col).alias("_t"), id_col, *keep)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return rows.mapInArrow(scan, f"{schema}, score double")
 

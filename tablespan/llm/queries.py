@@ -35,19 +35,19 @@ def vocabulary() -> str:
 
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(common.table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
+    packed = common.finished(spark, lambda: packing.pack(common.table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @query
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, working = suffix_dedup.repeats(common.table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    result = common.materialize(
-        found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    )
-    common.drop_table(spark, working)
-    return result
+
+    def rows():
+        found, _ = suffix_dedup.repeats(common.table(spark, sf_dir, "documents"))
+        return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+    return common.finished(spark, rows)
 
 
 @query
@@ -86,13 +86,17 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = F.coalesce(common.bucket5(F.col("doc_id")) == 1, F.lit(False))
-    model, scored = class_lm.train_and_score(docs, ~held_out)
-    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+    def rows():
+        model, scored = class_lm.train_and_score(docs, ~held_out)
+        return scored.withColumn("train_tokens", F.lit(model.total).cast("long"))
+
+    return common.finished(spark, rows).select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @query
 def op9_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_search.search(common.table(spark, sf_dir, "embeddings"))
+    return common.finished(spark, lambda: graph_search.search(common.table(spark, sf_dir, "embeddings")))
 
 
 @query
@@ -116,7 +120,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = quality.train(docs, common.table(spark, sf_dir, "labels"))
     return quality.score(docs, net).select(
         "doc_id",
-        (common.bucket5(F.col("doc_id")) == 0).alias("held_out"),
+        F.coalesce(common.bucket5(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
@@ -134,7 +138,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = near_dup.groups(common.table(spark, sf_dir, "documents"))
+    grouped = common.finished(spark, lambda: near_dup.groups(common.table(spark, sf_dir, "documents")))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
