@@ -24,7 +24,7 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity of about 0.8 or more."""
+    """One document of each near-duplicate group stays: five-word shingles, similarity of 0.8 or more."""
     return near_dup.dedup(docs, similarity=near_dup.SIMILARITY)
 
 
@@ -55,6 +55,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each result is written to the shared folder and read again."""
     common.ship(spark)
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+
+    def rows() -> DataFrame:
+        left = docs
+        for _, stage in STAGES[:-1]:
+            before, left = left, common.finished(spark, lambda stage=stage, left=left: stage(spark, left, sf_dir))
+            if before is not docs:
+                common.drop(before)
+        return STAGES[-1][1](spark, left, sf_dir)
+
+    return common.finished(spark, rows)
