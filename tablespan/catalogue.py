@@ -41,6 +41,14 @@ def engine(spark: SparkSession, sf_dir: str, name: str, key: str, **options: boo
     return TableEngine(spark, EngineOptions(**options)).load(table(spark, sf_dir, name), key)
 
 
+def saved_engine(spark: SparkSession, sf_dir: str, name: str, key: str, **indexes: list[str]) -> TableEngine:
+    """An engine over a table that was saved with its indexes in the shared folder."""
+    stage(spark.range(1))  # the shared folder is known from here on
+    path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    tables.save(table(spark, sf_dir, name), path, key, **indexes)
+    return TableEngine(spark).load_saved(path, key)
+
+
 # filters
 
 
@@ -48,7 +56,7 @@ def engine(spark: SparkSession, sf_dir: str, name: str, key: str, **options: boo
 from orders where contains(lower(o_orderpriority), 'med') and contains(cast(o_orderkey as varchar), '12')""")
 def filter_sort_flagship(spark, sf_dir):
     found = engine(spark, sf_dir, "orders", "o_orderkey").filter_sort({"o_orderpriority": " Med ", "o_orderkey": "12"}, [("o_totalprice", "desc")])
-    return found.with_positions().select("o_orderkey", "o_orderpriority", "o_totalprice", "pos")
+    return found.with_positions(["o_orderkey", "o_orderpriority", "o_totalprice"])
 
 
 flagship = filter_sort_flagship
@@ -123,7 +131,14 @@ def filter_refine(spark, sf_dir):
 @query("select p_partkey, p_name from part where contains(lower(p_name), 'ed')")
 def filter_dictionary_search(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return filters.filter_by_dictionary(part, index.dictionary(part, "p_name", "p_partkey"), "p_name", "ED").select("p_partkey", "p_name")
+    return filters.filter_by_dictionary(part, index.distinct_keys(part, "p_name"), "p_name", "ED").select("p_partkey", "p_name")
+
+
+@query("select p_partkey, p_name from part where contains(lower(p_name), 'red') and contains(lower(p_type), 'promo')")
+def filter_refined_keys(spark, sf_dir):
+    e = saved_engine(spark, sf_dir, "part", "p_partkey", indexed=["p_name", "p_type"])
+    e.filter({"p_name": "re", "p_type": "promo"})
+    return e.filter({"p_name": "red", "p_type": "promo"}).df.select("p_partkey", "p_name")
 
 
 @query("select p_partkey as row_id from part where contains(lower(p_brand), '3') and contains(lower(p_type), 'promo')")
@@ -183,28 +198,28 @@ def filter_ignore_unknown(spark, sf_dir):
 
 @query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) - 1 as pos from orders")
 def sort_single_asc(spark, sf_dir):
-    return sorting.sorted_positions(table(spark, sf_dir, "orders"), ["o_totalprice"], ["o_orderkey"]).select("o_orderkey", "o_totalprice", "pos")
+    return sorting.sorted_positions(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], ["o_orderkey"]).select("o_orderkey", "o_totalprice", "pos")
 
 
 @query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as pos from orders")
 def sort_single_desc(spark, sf_dir):
-    return sorting.sorted_positions(table(spark, sf_dir, "orders"), [("o_totalprice", "desc")], ["o_orderkey"]).select("o_orderkey", "o_totalprice", "pos")
+    return sorting.sorted_positions(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", "desc")], ["o_orderkey"]).select("o_orderkey", "o_totalprice", "pos")
 
 
 @query("select o_orderkey, row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey) - 1 as pos from orders")
 def sort_multi_mixed(spark, sf_dir):
     e = engine(spark, sf_dir, "orders", "o_orderkey")
-    return e.sort(["o_orderpriority", ("o_totalprice", "desc"), ("o_orderpriority", "desc")]).with_positions().select("o_orderkey", "pos")
+    return e.sort(["o_orderpriority", ("o_totalprice", "desc"), ("o_orderpriority", "desc")]).with_positions(["o_orderkey"])
 
 
 @query("select p_partkey, row_number() over (order by lower(p_name), p_name, p_partkey) - 1 as pos from part")
 def sort_string_ci(spark, sf_dir):
-    return sorting.sorted_positions(table(spark, sf_dir, "part"), ["p_name"], ["p_partkey"]).select("p_partkey", "pos")
+    return sorting.sorted_positions(table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_name"], ["p_partkey"]).select("p_partkey", "pos")
 
 
 @query("select p_partkey, row_number() over (order by p_name desc, p_partkey) - 1 as pos from part")
 def sort_string_cs(spark, sf_dir):
-    return sorting.sorted_positions(table(spark, sf_dir, "part"), [("p_name", "desc")], ["p_partkey"], case_sensitive=True).select("p_partkey", "pos")
+    return sorting.sorted_positions(table(spark, sf_dir, "part").select("p_partkey", "p_name"), [("p_name", "desc")], ["p_partkey"], case_sensitive=True).select("p_partkey", "pos")
 
 
 @query("""with e as (select event_id, case when event_id % 7 = 0 then null when event_id % 11 = 0 then cast('nan' as double)
@@ -222,12 +237,12 @@ def sort_nulls_nan(spark, sf_dir):
 @query("""select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) - 1 as pos from orders
 where contains(lower(o_orderpriority), 'urgent')""")
 def sort_filtered_subset(spark, sf_dir):
-    return engine(spark, sf_dir, "orders", "o_orderkey").filter_sort({"o_orderpriority": "urgent"}, [("o_orderdate", "desc")]).with_positions().select("o_orderkey", "pos")
+    return engine(spark, sf_dir, "orders", "o_orderkey").filter_sort({"o_orderpriority": "urgent"}, [("o_orderdate", "desc")]).with_positions(["o_orderkey"])
 
 
 @query("select s_suppkey, row_number() over (order by s_suppkey) - 1 as pos from supplier")
 def sort_default(spark, sf_dir):
-    return engine(spark, sf_dir, "supplier", "s_suppkey").sort().with_positions().select("s_suppkey", "pos")
+    return engine(spark, sf_dir, "supplier", "s_suppkey").sort().with_positions(["s_suppkey"])
 
 
 @query("select p_partkey, row_number() over (order by p_brand, p_size desc, p_partkey) - 1 as pos from part")
@@ -235,6 +250,13 @@ def sort_rank_tuple(spark, sf_dir):
     return engine(spark, sf_dir, "part", "p_partkey").sort_by_ranks(["p_brand", ("p_size", "desc")])
 
 
+@query("select p_partkey, row_number() over (order by lower(p_type) desc, p_type desc, p_size, p_partkey) - 1 as pos from part")
+def sort_from_saved_index(spark, sf_dir):
+    e = saved_engine(spark, sf_dir, "part", "p_partkey", ordered=["p_type", "p_size"])
+    ranked = e.sort([("p_type", "desc"), "p_size"], mode="precomputed")
+    return ranked.with_positions(["p_partkey"])
+
+
 @query("""select p_partkey, dense_rank() over (order by p_size) - 1 as rank_asc, dense_rank() over (order by p_size desc) - 1 as rank_desc from part""")
 def sort_desc_via_rank(spark, sf_dir):
     return index.dense_ranks(table(spark, sf_dir, "part"), "p_size", "p_partkey")

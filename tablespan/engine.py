@@ -8,16 +8,17 @@ from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tablespan.functions.text import display
+from tablespan.functions.text import NORM_SUFFIX, display
 from tablespan.operators import index
-from tablespan.operators.filters import check_columns, filter_rows, filter_within
+from tablespan.operators.filters import check_columns, filter_by_keys, filter_rows, filter_within, search_keys
 from tablespan.operators.sorting import PAGE_ROWS, SortKey, SortModes, ordering, page, sort_keys
 from tablespan.plans import planner
 from tablespan.plans.cache import ResultCache
 from tablespan.plans.stages import stage, with_positions
 from tablespan.schema import TableSchema
-from tablespan.sources import generate
+from tablespan.sources import generate, tables
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,9 @@ class EngineOptions:
     """Switches of layout and acceleration. None of them changes an answer.
 
     The layouts are accepted by name and reported; Spark has one columnar layout.
+    ``normalised`` uses stored lower-case columns, ``dictionary_search`` the
+    dictionaries of a saved table, and ``dictionary_intersection`` does so for
+    several filters at once.
     """
 
     columnar: bool = True
@@ -74,9 +78,13 @@ class SortResult:
     seconds: float
     order: list = field(default_factory=list)
     key: str = "row_id"
+    ranked: DataFrame | None = None  # the rows with the ranks that ``order`` is by
 
-    def with_positions(self) -> DataFrame:
-        return with_positions(self.df, self.order)
+    def with_positions(self, columns: list[str] | None = None) -> DataFrame:
+        """The rows with pos; only the named columns, of which no others but the keys are then moved."""
+        source, keep = self.df if self.ranked is None else self.ranked, self.df.columns if columns is None else columns
+        sorts = [k.column for k in self.keys] if self.ranked is None else [c for c in source.columns if c not in self.df.columns]
+        return with_positions(source.select(*dict.fromkeys([*keep, *sorts, self.key])), self.order).select(*keep, "pos")
 
     def count(self) -> int:
         return self.df.count()
@@ -97,6 +105,9 @@ class TableEngine:
         self._rows: int | None = None
         self._previous: tuple[dict[str, object], DataFrame] | None = None
         self._ranks: dict[str, DataFrame] = {}
+        self._orders: dict[str, DataFrame] = {}
+        self._saved: str | None = None
+        self._matched: dict[str, tuple[str, DataFrame]] = {}
         self._listeners: list[Callable[[dict], None]] = []
 
     # data
@@ -104,11 +115,23 @@ class TableEngine:
     def load(self, df: DataFrame, key: str = "row_id") -> TableEngine:
         """Take a frame; results of earlier data are dropped."""
         self._schema = TableSchema.of(df, key)
-        self._df, self._key, self._rows, self._previous, self._ranks = df, key, None, None, {}
+        self._df, self._key, self._rows, self._previous, self._ranks, self._orders, self._saved = df, key, None, None, {}, {}, None
+        self._forget_keys()
         self.cache.invalidate()
         self._tell("load")
         return self
 
+    def load_saved(self, path: str, key: str = "row_id") -> TableEngine:
+        """Take a saved table with its normalised columns, dictionaries and sort indexes; an index that is missing is made when first used."""
+        self.load(tables.load(self.spark, path, normalised=True), key)
+        self._saved = path
+        return self
+
+    def _forget_keys(self) -> None:
+        for _, keys in self._matched.values():
+            keys.unpersist()
+        self._matched = {}
+
     def generate(self, rows: int, seed: int = 0, partitions: int | None = None) -> TableEngine:
         return self.load(generate.random_table(self.spark, rows, seed, partitions))
 
@@ -140,6 +163,7 @@ class TableEngine:
     def set_options(self, **changes: bool) -> EngineOptions:
         self.options = replace(self.options, **changes).settled()
         self._previous = None
+        self._forget_keys()
         self._tell("options")
         return self.options
 
@@ -227,22 +251,41 @@ class TableEngine:
         if self.options.result_cache and (hit := self.cache.get(cache_key)):
             return FilterResult(hit[0], layout, active, self._clock() - began, cache_event="hit", _count=hit[1])
         source = self._df
+        if not self.options.normalised:
+            source = source.select(*(c for c in source.columns if not c.endswith(NORM_SUFFIX)))
         if self.options.reuse_previous and self._previous and planner.stricter(self._previous[0], active):
             source = self._previous[1]
         order = None
         if self.options.sample_planner and len(active) > 1 and self._key in source.columns and self._rows is not None and self._df.is_cached:
             order = planner.by_sample(self._df, active, self._key, self._rows)
-        found = filter_rows(source, active, order)
+        found, rest = source, active
+        if self._saved and self.options.dictionary_search and (len(active) == 1 or self.options.dictionary_intersection):
+            for name in [c for c in active if not c.endswith(NORM_SUFFIX) and isinstance(self._df.schema[c].dataType, StringType)]:
+                found = filter_by_keys(found, self._keys(name, active[name]), name)
+                rest = {c: n for c, n in rest.items() if c != name}
+        found = filter_rows(found, rest, [c for c in order if c in rest] if order else None)
         self._previous = (active, found)
         event, count = None, None
         if self.options.result_cache and active:
-            found = found.persist()
-            count = found.count()
-            event = self.cache.put(cache_key, found, count)
-            if event is None:
-                found.unpersist()
+            most = max(tier.rows for tier in self.cache.tiers)
+            count = found.limit(most + 1).count()
+            if count <= most:
+                found = found.persist()
+                event = self.cache.put(cache_key, found, count)
+            else:
+                count = None
         return FilterResult(found, layout, active, self._clock() - began, cache_event=event, _count=count)
 
+    def _keys(self, name: str, text: str) -> DataFrame:
+        """The dictionary keys that hold the needle; a longer needle searches only what the last one matched."""
+        before = self._matched.get(name)
+        if before and before[0] == text:
+            return before[1]
+        source = before[1] if before and text.startswith(before[0]) else tables.load_or_build_index(self.spark, self._saved, "dictionary", name, self._key)
+        keys = search_keys(source, name, text).select("column_name", "key_lower").persist()
+        self._matched[name] = text, keys
+        return keys
+
     # sort
 
     def sort(self, keys: Iterable = (), base: DataFrame | None = None, mode: str | None = None, case_sensitive: bool = False) -> SortResult:
@@ -257,9 +300,26 @@ class TableEngine:
         strategy = self.modes.get(mode)
         order = ordering(df, chosen, [self._key], case_sensitive)
         own = mode in self.modes._own
+        if mode == "precomputed" and not own and not case_sensitive and chosen and all(k.column in self._orders or self._saved for k in chosen):
+            return self._from_orders(df, chosen, began)
         done = strategy(df, chosen, [self._key]) if own else df.orderBy(*order)
         return SortResult(done, chosen, mode, mode if own else "spark", self._clock() - began, order, self._key)
 
+    def _from_orders(self, df: DataFrame, chosen: list[SortKey], began: float) -> SortResult:
+        """Sort by the ranks of stored sort indexes instead of the values."""
+        columns, order = df.columns, []
+        for k, sort_key in enumerate(chosen):
+            ranks = self._order_of(sort_key.column).select(self._key, F.col("rank").alias(f"_r{k}"))
+            df = df.join(ranks, self._key)
+            order.append(F.col(f"_r{k}").asc() if sort_key.direction == "asc" else F.col(f"_r{k}").desc())
+        order.append(F.col(self._key).asc_nulls_last())
+        return SortResult(df.orderBy(*order).select(*columns), chosen, "precomputed", "precomputed", self._clock() - began, order, self._key, df)
+
+    def _order_of(self, name: str) -> DataFrame:
+        if name not in self._orders:
+            self._orders[name] = tables.load_or_build_index(self.spark, self._saved, "order", name, self._key) if self._saved else stage(index.sort_index(self._need(), name, self._key))
+        return self._orders[name]
+
     def filter_sort(self, filters: Mapping[str, object], keys: Iterable = (), case_sensitive: bool = False) -> SortResult:
         """One plan: the filter runs once, below the sort. No match gives an empty result."""
         return self.sort(keys, self.filter(filters).df, case_sensitive=case_sensitive)
@@ -273,12 +333,17 @@ class TableEngine:
         found = page(self.filter(filters).df, keys, [self._key], start, rows).orderBy("pos")
         return [r.asDict() for r in display(found, columns or self._need().columns).collect()]
 
-    def prewarm_sort(self, columns: list[str]) -> None:
-        """Rank the named columns now and keep the ranks."""
-        for name in columns:
+    def prewarm_sort(self, columns: list[str] | None = None) -> None:
+        """Rank the named columns (default: all) now and keep the ranks; a second call does nothing."""
+        for name in columns if columns is not None else self._need().columns:
             if name not in self._ranks:
                 self._ranks[name] = stage(index.dense_ranks(self._need(), name, self._key))
 
+    def prewarm_orders(self, columns: list[str]) -> None:
+        """Make or read the sort indexes of the named columns now; ``precomputed`` sorts use them."""
+        for name in columns:
+            self._order_of(name)
+
     def sort_by_ranks(self, keys: Iterable) -> DataFrame:
         """(key, pos) from kept ranks; columns that are not ranked yet are ranked first."""
         chosen = sort_keys(keys, self._need().columns)
@@ -289,4 +354,4 @@ class TableEngine:
         return index.order_by_ranks(ranked, [(f"_r{k}", "asc") for k in range(len(chosen))], self._key)
 
     def reset_sort(self) -> None:
-        self._ranks = {}
+        self._ranks, self._orders = {}, {}

@@ -44,16 +44,20 @@ def filter_rows(df: DataFrame, filters: Mapping[str, object], order: list[str] |
 
 def filter_within(df: DataFrame, base: DataFrame, key: str, filters: Mapping[str, object]) -> DataFrame:
     """The rows that pass the filters and whose key is in ``base``."""
-    return filter_rows(df, filters).join(base.select(key).distinct(), key, "left_semi")
+    return filter_rows(df, filters).join(base.select(key), key, "left_semi")
 
 
-def filter_by_dictionary(df: DataFrame, dictionary: DataFrame, name: str, text: object) -> DataFrame:
-    """Search the distinct values, then keep the rows of those that match: a semi join on the value.
+def search_keys(dictionary: DataFrame, name: str, text: str) -> DataFrame:
+    """The dictionary's keys of a column that hold a normalised needle."""
+    return dictionary.where((F.col("column_name") == name) & F.contains("key_lower", F.lit(text)))
+
+
+def filter_by_keys(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose cell is one of the keys; Spark broadcasts them only if they turn out small."""
+    return df.join(keys.select(F.col("key_lower").alias("_key")), normalised(df, name) == F.col("_key"), "left_semi")
 
-    Spark broadcasts the matching values only if they turn out small.
-    """
+
+def filter_by_dictionary(df: DataFrame, dictionary: DataFrame, name: str, text: object) -> DataFrame:
+    """Search the distinct values, then keep the rows of those that match: a semi join on the value."""
     wanted = active({name: text})
-    if not wanted:
-        return df
-    keys = dictionary.where((F.col("column_name") == name) & F.contains("key_lower", F.lit(wanted[name]))).select(F.col("key_lower").alias("_key"))
-    return df.join(keys, normalised(df, name) == F.col("_key"), "left_semi")
+    return filter_by_keys(df, search_keys(dictionary, name, wanted[name]), name) if wanted else df

@@ -25,6 +25,17 @@ def dictionary(df: DataFrame, name: str, key: str) -> DataFrame:
     return with_positions(firsts, [F.col("first_row")], "value_id").select(F.lit(name).alias("column_name"), "key_lower", "value_id", "value", "first_row")
 
 
+def distinct_keys(df: DataFrame, name: str) -> DataFrame:
+    """(column_name, key_lower): the distinct cell texts, without ids or order, for searches."""
+    return df.select(F.lit(name).alias("column_name"), normalised(df, name).alias("key_lower")).where("key_lower is not null").distinct()
+
+
+def sort_index(df: DataFrame, name: str, key: str) -> DataFrame:
+    """(key, rank): dense ranks from 0 in the sort order of the column; descending is the same ranks from the top."""
+    values = with_positions(df.select(F.col(name).alias("_value")).distinct(), ordering(df.select(F.col(name).alias("_value")), ["_value"], []), "rank")
+    return df.select(key, F.col(name).alias("_own")).join(values, F.col("_own").eqNullSafe(F.col("_value"))).select(key, "rank")
+
+
 def dictionary_stats(df: DataFrame, names: list[str], key: str) -> DataFrame:
     """(column_name, n_rows, n_values, share, choice): whether a dictionary pays, for each column; one pass."""
     counts = [F.countDistinct(normalised(df, n)).alias(f"v{k}") for k, n in enumerate(names)]

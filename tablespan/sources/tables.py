@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tablespan.functions.text import NORM_SUFFIX, with_normalised
@@ -9,7 +10,7 @@ from tablespan.operators import index
 from tablespan.plans.stages import with_positions
 from tablespan.schema import TableSchema
 
-INDEXES = ("dictionary", "postings")
+INDEXES = ("dictionary", "postings", "order")
 
 
 def from_rows(spark: SparkSession, rows: list, schema: TableSchema) -> DataFrame:
@@ -22,14 +23,18 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id") -> DataFr
     return with_positions(df, [df[c].asc_nulls_last() for c in order], name)
 
 
-def save(df: DataFrame, path: str, key: str, normalise: list[str] | None = None, indexed: list[str] | None = None, mode: str = "errorifexists") -> None:
-    """Write the rows, with normalised columns for pushed-down filters, and index tables for the named columns."""
+def save(df: DataFrame, path: str, key: str, normalise: list[str] | None = None, indexed: list[str] | None = None, mode: str = "errorifexists", ordered: list[str] | None = None) -> None:
+    """Write the rows, with normalised columns for pushed-down filters, and index tables and sort indexes for the named columns."""
     with_normalised(df, normalise or []).write.mode(mode).parquet(f"{path}/rows")
     for name in indexed or []:
         index.dictionary(df, name, key).write.mode(mode).parquet(f"{path}/dictionary/{name}")
         index.postings(df, name, key).repartitionByRange("key_lower", "row_id").sortWithinPartitions("key_lower", "row_id").write.mode(mode).parquet(f"{path}/postings/{name}")
 
 
+    for name in ordered or []:
+        index.sort_index(df, name, key).write.mode(mode).parquet(f"{path}/order/{name}")
+
+
 def load(spark: SparkSession, path: str, schema: TableSchema | None = None, normalised: bool = False) -> DataFrame:
     """Read saved rows; with a schema they must fit it. Normalised columns are left out unless asked for."""
     df = spark.read.parquet(f"{path}/rows")
@@ -45,6 +50,15 @@ def load_index(spark: SparkSession, path: str, kind: str, name: str) -> DataFram
     return spark.read.parquet(f"{path}/{kind}/{name}")
 
 
+def load_or_build_index(spark: SparkSession, path: str, kind: str, name: str, key: str) -> DataFrame:
+    """A stored index, or one made from the saved rows where none was written."""
+    try:
+        return load_index(spark, path, kind, name)
+    except AnalysisException:
+        make = {"dictionary": index.dictionary, "postings": index.postings, "order": index.sort_index}[kind]
+        return make(load(spark, path, normalised=True), name, key)
+
+
 def preset_path(folder: str, rows: int, base: str | None = None) -> str:
     """Where a preset of so many rows lies."""
     if rows < 0:

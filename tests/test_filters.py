@@ -184,6 +184,52 @@ def test_stored_text_reaches_the_scan(spark, tmp_path):
     assert "Python" not in plan and "SinglePartition" not in plan
 
 
+def test_saved_dictionaries_answer_and_change_the_plan(spark, tmp_path):
+    from tablespan.sources import tables
+
+    path = str(tmp_path / "t")
+    tables.save(generate.fixed_table(spark, 400), path, "row_id", indexed=["firstName"])
+    engine = TableEngine(spark).load_saved(path)
+    plan = lambda found: found.df._jdf.queryExecution().optimizedPlan().toString()
+    for wanted in ({"firstName": "e"}, {"firstName": "es"}, {"firstName": "est", "lastName": "a"}, {"firstName": "h"}):
+        found = engine.filter(wanted)
+        assert ids(found.df) == brute(grid_rows(400), wanted) and "LeftSemi" in plan(found)
+    engine.set_options(dictionary_search=False)
+    found = engine.filter({"firstName": "e"})
+    assert ids(found.df) == brute(grid_rows(400), {"firstName": "e"}) and "LeftSemi" not in plan(found)
+
+
+def test_a_longer_needle_searches_the_matched_keys_only(spark, tmp_path):
+    from tablespan.sources import tables
+
+    path = str(tmp_path / "t")
+    tables.save(generate.fixed_table(spark, 100), path, "row_id", indexed=["firstName"])
+    engine = TableEngine(spark).load_saved(path)
+    first = engine._keys("firstName", "e")
+    assert first.count() == 5 - sum("e" not in n.lower() for n in generate.FIRST_NAMES[:5]) + sum("e" in n.lower() for n in generate.FIRST_NAMES[5:])
+    second = engine._keys("firstName", "es")
+    assert "InMemoryRelation" in second._jdf.queryExecution().withCachedData().toString() and [r["key_lower"] for r in second.collect()] == ["esther"]
+    assert engine._keys("firstName", "es") is second
+
+
+def test_stored_text_can_be_left_unused(spark, tmp_path):
+    from tablespan.sources import tables
+
+    path = str(tmp_path / "t")
+    tables.save(generate.fixed_table(spark, 50), path, "row_id", normalise=["firstName"])
+    plan = lambda engine: engine.filter({"firstName": "ad"}).df._jdf.queryExecution().toString()
+    engine = TableEngine(spark, EngineOptions(dictionary_search=False)).load_saved(path)
+    assert "StringContains(firstName_norm,ad)" in plan(engine)
+    engine.set_options(normalised=False)
+    assert "firstName_norm" not in plan(engine).split("Physical Plan")[1]
+
+
+def test_a_large_result_is_not_persisted(spark):
+    engine = TableEngine(spark, EngineOptions(result_cache=True), ResultCache(small=(5, 2), medium=(10, 1))).load(generate.fixed_table(spark, 400))
+    found = engine.filter({"firstName": "a"})
+    assert found.cache_event is None and not found.df.is_cached and found.count() == len(brute(grid_rows(400), {"firstName": "a"}))
+
+
 def test_listeners_and_restore(spark):
     engine, seen = TableEngine(spark).load(generate.fixed_table(spark, 10)), []
     stop = engine.listen(seen.append)

@@ -117,6 +117,27 @@ def test_positions_need_no_single_partition(spark):
     assert positions(sorting.sorted_positions(df, [("column9", "desc")], ["row_id"])) == [r["row_id"] for r in df.orderBy(F.desc("column9"), "row_id").collect()]
 
 
+def test_stored_ranks_sort_like_values(spark, tmp_path):
+    from tablespan.sources import tables
+
+    df = spark.createDataFrame([(0, "b", 1.0), (1, "B", None), (2, None, float("nan")), (3, "a", 2.0), (4, "b", 2.0), (5, "A", float("inf"))], "row_id long, s string, d double")
+    path = str(tmp_path / "t")
+    tables.save(df, path, "row_id", ordered=["s"])  # the sort index of d is made when it is first used
+    engine = TableEngine(spark).load_saved(path)
+    for keys in ([("s", "desc")], ["s"], ["d"], [("d", "desc"), "s"], ["s", ("d", "desc")]):
+        done = engine.sort(keys, mode="precomputed")
+        assert done.used_mode == "precomputed" and "_r0" in done.ranked.columns
+        want = positions(engine.sort(keys).with_positions())
+        assert positions(done.with_positions()) == want == [r["row_id"] for r in done.df.collect()]
+        assert done.with_positions(["s"]).columns == ["s", "pos"]
+    engine.reset_sort()
+    assert engine._orders == {}
+    plain = TableEngine(spark).load(df)
+    assert plain.sort(["s"], mode="precomputed").used_mode == "spark"
+    plain.prewarm_orders(["s"])
+    assert positions(plain.sort([("s", "desc")], mode="precomputed").with_positions()) == positions(plain.sort([("s", "desc")]).with_positions())
+
+
 def test_header_clicks():
     state = SortState()
     state.click("a")
