@@ -310,3 +310,49 @@ def test_stages_keep_the_columns(spark, sf_dir):
     assert first == copies
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_pipeline_takes_nulls_repeats_and_an_empty_table(spark, tmp_path):
+    texts = [None, "", "one text that repeats with some words in it", "one text that repeats with some words in it", "z " * 5000, "a short line\nand a second line of six words here\n"]
+    rows = [(k if k != 2 else None, t, "en" if k % 2 else None, "web" if k % 3 else None, len(t or "")) for k, t in enumerate(texts * 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, docs in (("some", rows + rows[:3]), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(r[0], k % 2, 0) for k, r in enumerate(docs)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        packed = corpus_pipeline.run(spark, folder)
+        assert packed.columns[:2] == ["doc_id", "piece"]
+        assert packed.count() == 0 or docs
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs between 0.80 and 0.85, the hardest: nearly all are found, in a group that they chain together as well."""
+    rng = np.random.default_rng(21)
+    texts, near = [], []
+    for g in range(250):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 240)]
+        n = int(rng.integers(12, 23))
+        at = int(rng.integers(20, 180))
+        texts += [" ".join(words), " ".join(words[:at] + [f"n{g}x{k}" for k in range(n)] + words[at + n :])]
+        if 0.8 <= jaccard(texts[-2], texts[-1]) <= 0.85:
+            near.append(len(texts) - 2)
+    base = [f"b{x}" for x in rng.integers(0, 50_000, 150)]
+    crowd = range(len(texts), len(texts) + 150)
+    texts += [" ".join(edited(rng, base, int(rng.integers(1, 9)))) for _ in crowd]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.groups(df, similarity=0.8).collect()}
+    assert len(near) > 60 and sum(found[k] == found[k + 1] for k in near) >= 0.99 * len(near)
+    want = closure(crowd, [(a, b) for a in crowd for b in crowd if a < b and jaccard(texts[a], texts[b]) >= 0.8])
+    assert {k: found[k] for k in crowd} == want
+
+
+@pytest.mark.parametrize("texts,grams", [(40, 500_000), (512, 3_000)])
+def test_clusters_in_blocks_equal_whole_ones(spark, monkeypatch, texts, grams):
+    rng = np.random.default_rng(9)
+    base = [f"b{x}" for x in rng.integers(0, 50_000, 120)]
+    rows = [" ".join(edited(rng, base, int(rng.integers(0, 7)))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "CLUSTER_TEXTS", texts)
+    monkeypatch.setattr(near_dup, "CLUSTER_GRAMS", grams)
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.groups(df, similarity=0.8).collect()}
+    assert found == closure(range(120), [(a, b) for a in range(120) for b in range(a) if jaccard(rows[a], rows[b]) >= 0.8])

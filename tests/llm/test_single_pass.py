@@ -134,6 +134,24 @@ def test_fingerprint_edges(edges):
     assert [r["next_text"] for r in fingerprints.with_next(edges.where("doc_id = 2")).collect()] == [""]
 
 
+def plain_probability(net, text):
+    """The network written out: bytes, chunks of two steps, segments, mean and maximum."""
+    steps = max(-(-len(text) // quality.STEP), 1)
+    raw = text.ljust((steps + 1) * quality.STEP, b"\0")
+    at = [net.embed[list(raw[k * quality.STEP : (k + 1) * quality.STEP])].reshape(-1).astype(float) for k in range(steps + 1)]
+    chunks = [[max(0.0, float(at[k] @ net.first[:, f] + at[k + 1] @ net.second[:, f] + net.bias[f])) for f in range(quality.FILTERS)] for k in range(steps)]
+    segments = [np.max(chunks[k : k + quality.SEGMENT], axis=0) for k in range(0, steps, quality.SEGMENT)]
+    logit = float(np.concatenate([np.mean(segments, 0), np.max(segments, 0)]) @ net.out + net.out_bias[0])
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_quality_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    texts = [b"", b"a", b"abcd", b"abcde", *(bytes(rng.integers(0, 256, n, np.uint8)) for n in (7, 100, 511, 512, 513, 1500))]
+    net = quality.fit([b"good words here", b"zzz\x00zz"] * 20, np.array([1.0, 0.0] * 20, np.float32), epochs=2)
+    assert quality.probabilities(net, texts) == pytest.approx([plain_probability(net, t) for t in texts], rel=1e-4)
+
+
 def test_quality_held_out(spark):
     big = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{big}/labels.parquet")
