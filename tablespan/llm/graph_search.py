@@ -20,7 +20,7 @@ from . import common
 
 NEIGHBOURS = 20
 #: Rounds end when no more than SETTLED of all edges are new, or after ROUNDS.
-ROUNDS, SETTLED = 8, 0.03
+ROUNDS, SETTLED = 8, 0.05
 PROJECTIONS = 4
 BLOCK = 1024
 POOL = 300
@@ -162,7 +162,7 @@ def build(codes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS, projectio
     for turn in range(rounds):
         far = graph.groupBy("node").agg(F.max("d").alias("far"), F.count("*").alias("n"))
         members = codes.join(far, "node").select(F.col("node").alias("other"), "code", F.when(F.col("n") < k, float("inf")).otherwise(F.col("far")).alias("far"))
-        both = _sliced(_both_ways(graph).groupBy("at", "other").agg(F.max("fresh").alias("fresh")), graph, k, turn)
+        both = _sliced(_both_ways(graph), turn)
         met = both.join(members, "other").repartition("at", "part").sortWithinPartitions("at", "part").select("at", "part", "other", "fresh", "far", "code")
         found = met.mapInArrow(_local_join, _FLAT)
         graph = common.checkpoint(_nearest(graph.withColumn("fresh", F.lit(False)).union(found), k))
@@ -177,11 +177,14 @@ def _both_ways(graph: DataFrame) -> DataFrame:
     return graph.select(F.explode(ends).alias("e")).select("e.*")
 
 
-def _sliced(both: DataFrame, graph: DataFrame, k: int, turn: int) -> DataFrame:
-    """Add part: the neighbours of a node with over _SLICE of them fall at random into slices of about that many."""
-    hubs = graph.groupBy(F.col("nb").alias("at")).agg(F.ceil((F.count("*") + k) / _SLICE).alias("parts")).where("parts > 1")
-    own = F.pmod(F.xxhash64(F.lit(turn), "other"), F.coalesce("parts", F.lit(1)))
-    return both.join(hubs, "at", "left").withColumn("part", own).drop("parts")
+def _sliced(both: DataFrame, turn: int) -> DataFrame:
+    """(at, other, fresh, part): each pair once; a node's neighbours fall at random into slices of about _SLICE.
+
+    Ids alone are gathered by node to be counted; the vectors go to the slices.
+    """
+    pairs = both.repartition("at").groupBy("at", "other").agg(F.max("fresh").alias("fresh"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("at")) / _SLICE)
+    return pairs.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "other"), parts))
 
 
 def _pack(batches):
@@ -196,7 +199,7 @@ def _pack(batches):
 
 def adjacency(graph: DataFrame, codes: DataFrame) -> DataFrame:
     """(node, nbs, codes): each node's neighbours in either direction with their vectors' codes."""
-    both = _sliced(_both_ways(graph).select("at", "other").distinct(), graph, NEIGHBOURS, 0)
+    both = _sliced(_both_ways(graph), 0).drop("fresh")
     met = both.join(codes.select(F.col("node").alias("other"), "code"), "other")
     return met.repartition("at", "part").sortWithinPartitions("at", "part").select("at", "part", "other", "code").mapInArrow(_pack, "node long, nbs binary, codes binary")
 
@@ -217,22 +220,33 @@ def _measure(batches):
 
 
 def _expand(pool: int):
-    """Merge what a query's frontier leads to into its pool."""
+    """Merge what a query's frontier leads to (rows without a code) into its pool; rows come sorted by query."""
 
-    def run(state: pa.Table, led: pa.Table) -> pa.Table:
-        if not state.num_rows:
-            return _STATE.empty_table()
-        ids, ds = (np.frombuffer(state[c][0].as_py(), t) for c, t in (("ids", np.int64), ("ds", np.float64)))
-        new = np.frombuffer(b"".join(led["nbs"].to_pylist()), np.int64)
+    def merged(query, code, ids, ds, led):
+        new = np.frombuffer(b"".join(x for x, _ in led), np.int64)
         # all that was in the pool has been expanded by now
         done = np.r_[np.ones(len(ids), bool), np.zeros(len(new), bool)]
-        ids, ds = np.r_[ids, new], np.r_[ds, np.frombuffer(b"".join(led["ds"].to_pylist()), np.float64)]
+        ids, ds = np.r_[ids, new], np.r_[ds, np.frombuffer(b"".join(x for _, x in led), np.float64)]
         order = np.lexsort((~done, ids))
         ids, ds, done = ids[order], ds[order], done[order]
         first = np.r_[True, ids[1:] != ids[:-1]]
         ids, ds, done = ids[first], ds[first], done[first]
         top = np.lexsort((ids, ds))[:pool]
-        return pa.Table.from_arrays([state["query"].combine_chunks(), state["code"].combine_chunks(), *(pa.array([a.tobytes()], pa.binary()) for a in (ids[top], ds[top], done[top]))], schema=_STATE)
+        return query, code, *(a.tobytes() for a in (ids[top], ds[top], done[top]))
+
+    def run(batches):
+        for rows in common.contiguous(batches):
+            queries, codes, ids, ds = (rows.column(k).to_pylist() for k in range(4))
+            out, lo = [], 0
+            while lo < len(queries):
+                hi = lo
+                while hi < len(queries) and queries[hi] == queries[lo]:
+                    hi += 1
+                own = next(k for k in range(lo, hi) if codes[k] is not None)
+                led = [(ids[k], ds[k]) for k in range(lo, hi) if k != own]
+                out.append(merged(queries[lo], codes[own], np.frombuffer(ids[own], np.int64), np.frombuffer(ds[own], np.float64), led))
+                lo = hi
+            yield pa.record_batch([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_STATE)], schema=_STATE)
 
     return run
 
@@ -270,7 +284,9 @@ def walk(queries: DataFrame, links: DataFrame, pool: int = POOL, rounds: int = 4
             break
         frontier = state.mapInArrow(_frontier(pool), "query long, code binary, limit double, node long")
         led = frontier.join(links, "node").select("query", "code", "limit", "nbs", "codes").mapInArrow(_measure, "query long, nbs binary, ds binary")
-        state = common.checkpoint(state.groupBy("query").cogroup(led.groupBy("query")).applyInArrow(_expand(pool), schema))
+        none = F.lit(None).cast("binary")
+        both = state.union(led.select("query", none.alias("code"), F.col("nbs").alias("ids"), "ds", none.alias("done")))
+        state = common.checkpoint(both.repartition("query").sortWithinPartitions("query").mapInArrow(_expand(pool), schema))
     return state.select("query", "ids")
 
 
