@@ -48,6 +48,10 @@ END = b"\n"
 _TAIL, _START = -1, -2
 _FLUSH = 200_000
 _BLOCK = 1024
+#: A count and its place within a block in one integer.
+_PLACE = 20
+#: Groups of tasks whose counts are added up first.
+_SALTS = 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -224,22 +228,35 @@ class _Cells:
         self.settle()
         for k, block in enumerate(self.cells.reshape(-1, _BLOCK * self.width)):
             if block.any():
-                yield k, block.astype(np.int64).tobytes()
+                yield k, _packed(block)
 
 
-def _summed(blocks: DataFrame) -> DataFrame:
+def _packed(block: np.ndarray) -> bytes:
+    at = np.flatnonzero(block)
+    return (block[at].astype(np.int64) << _PLACE | at).tobytes()
+
+
+def _unpacked(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places, each once, and counts."""
+    both = np.frombuffer(cells, np.int64)
+    return both & (1 << _PLACE) - 1, both >> _PLACE
+
+
+def _summed(blocks: DataFrame, size: int) -> DataFrame:
     """(block, cells): blocks of counts added up, in two steps, so that no task gets one from every other."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cells = np.frombuffer(cells, np.int64)
-                total[k] = total[k] + cells if k in total else cells
+                at, n = _unpacked(cells)
+                if k not in total:
+                    total[k] = np.zeros(size, np.int64)
+                total[k][at] += n
         for k, cells in total.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["block", "cells"])
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([_packed(cells)], pa.binary())], names=["block", "cells"])
 
-    some = blocks.repartition("block", F.pmod(F.spark_partition_id(), F.lit(8))).mapInArrow(add, "block int, cells binary")
+    some = blocks.repartition("block", F.pmod(F.spark_partition_id(), F.lit(_SALTS))).mapInArrow(add, "block int, cells binary")
     return some.repartition("block").mapInArrow(add, "block int, cells binary")
 
 
@@ -339,7 +356,7 @@ def _tail_contexts(label, classes: int):
                 cells.add(number[beside], mine[beside] + side)
             contexts = [packed[p:q] for p, q in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.record_batch([word.filter(pa.array(first)), pa.array(c), pa.array(cls.astype(np.int32)), pa.array(contexts, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=["word", "c", "cls", "contexts", "block", "cells"])
-        for k, block in [*cells.blocks(), (-1, moves.tobytes())]:
+        for k, block in [*cells.blocks(), (-1, _packed(moves))]:
             yield pa.record_batch([pa.array([None], t) for t in (pa.binary(), pa.int64(), pa.int32(), pa.binary())] + [pa.array([k], pa.int32()), pa.array([block], pa.binary())], names=["word", "c", "cls", "contexts", "block", "cells"])
 
     return run
@@ -375,13 +392,10 @@ def _counted(corpus: DataFrame, pairs: DataFrame, label: np.ndarray, tail: DataF
     met = common.materialize(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_tail_contexts(shared, classes), _COUNTED))
     blocks = _head_contexts(corpus, shared, classes).union(met.where("block is not null").select("block", "cells"))
     cells, moves = np.zeros((max(len(label), 1), 2 * classes), np.int64), np.zeros((classes, classes), np.int64)
-    for row in _summed(blocks).toLocalIterator():
-        found = np.frombuffer(row["cells"], np.int64)
-        if row["block"] < 0:
-            moves += found.reshape(classes, classes)
-        else:
-            lo = row["block"] * _BLOCK
-            cells[lo : lo + _BLOCK] += found.reshape(_BLOCK, -1)[: len(cells) - lo]
+    for row in _summed(blocks, max(2 * classes * _BLOCK, classes * classes)).toLocalIterator():
+        at, n = _unpacked(row["cells"])
+        into, at = (moves.reshape(-1), at) if row["block"] < 0 else (cells.reshape(-1), at + row["block"] * _BLOCK * 2 * classes)
+        into[at] += n
     for k in range(classes):
         moves[:, k] += cells[: len(label)][label == k, :classes].sum(0)
     return cells, met.where("block is null").select("word", "c", "contexts"), moves, met
@@ -408,6 +422,8 @@ class Model:
 
 def fit(corpus: DataFrame, head: Head, classes: int = CLASSES, clustered: int = CLUSTERED, rounds: int = ROUNDS) -> Model:
     """Classes and probabilities from an encoded corpus (all its rows)."""
+    if not 2 <= classes <= 128:
+        raise ValueError("there are 2 to 128 classes")
     seeds = min(clustered, len(head.words))
     label = np.full(len(head.words), -1)
     label[:seeds] = exchange(seed_bigrams(corpus, seeds), classes) if seeds else 0
