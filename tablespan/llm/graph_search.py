@@ -20,13 +20,15 @@ from . import common
 
 NEIGHBOURS = 20
 #: Rounds end when no more than SETTLED of all edges are new, or after ROUNDS.
-ROUNDS, SETTLED = 8, 0.05
+ROUNDS, SETTLED = 6, 0.1
 PROJECTIONS = 4
 BLOCK = 1024
 POOL = 300
 RERANK = 64
 K = 10
 _SLICE = 160
+#: Queries whose pools are kept in one place during the walk.
+_QUERIES = 50
 _FLAT = "node long, nb long, d double, fresh boolean"
 
 
@@ -279,6 +281,8 @@ def walk(queries: DataFrame, links: DataFrame, pool: int = POOL, rounds: int = 4
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([np.int64(q).tobytes() for q in batch.column(0).to_pylist()], pa.binary()), pa.array([np.float64(0).tobytes()] * n, pa.binary()), pa.array([b"\0"] * n, pa.binary())], names=_STATE.names)
 
     state = common.checkpoint(queries.mapInArrow(start, schema))
+    # a step moves little: no more tasks than the queries are worth
+    places = max(8, state.count() // _QUERIES)
     for _ in range(rounds):
         if state.where(F.contains("done", F.lit(b"\0"))).isEmpty():
             break
@@ -286,7 +290,7 @@ def walk(queries: DataFrame, links: DataFrame, pool: int = POOL, rounds: int = 4
         led = frontier.join(links, "node").select("query", "code", "limit", "nbs", "codes").mapInArrow(_measure, "query long, nbs binary, ds binary")
         none = F.lit(None).cast("binary")
         both = state.union(led.select("query", none.alias("code"), F.col("nbs").alias("ids"), "ds", none.alias("done")))
-        state = common.checkpoint(both.repartition("query").sortWithinPartitions("query").mapInArrow(_expand(pool), schema))
+        state = common.checkpoint(both.repartition("query").coalesce(places).sortWithinPartitions("query").mapInArrow(_expand(pool), schema))
     return state.select("query", "ids")
 
 
