@@ -7,6 +7,8 @@ Rows of one digest are compared byte by byte before they count as equal.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,34 +69,62 @@ def _range_of(column: Column, bounds: list) -> Column:
     return F.when(column.isNull(), -1).otherwise(coarse + fine)
 
 
+#: Bytes of text that one range of ids is made for.
+RANGE_BYTES = 16 << 20
+
+
+def _slots(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with their range of ids and its part, and about how many slots there are.
+
+    There is a range for every RANGE_BYTES of text, and one a shuffle partition
+    at least. An id that ends several ranges, and null, have that many parts, by
+    ascending hash of the text; the smaller ids of the range go to its last part.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("nulls"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2, (total["bytes"] or 0) // RANGE_BYTES + 1)
+    found = rows.agg(F.percentile_approx("id", [k / many for k in range(1, many)], max(10_000, 20 * many))).first()[0] or []
+    times = Counter(found)
+    bounds = sorted(times)
+    shares = F.array(*(F.lit(max(x, 1)) for x in (total["nulls"] * many // max(total["n"], 1), *(times[b] for b in bounds), 1)))
+    ends = F.array(F.lit(None).cast("long"), *(F.lit(b).cast("long") for b in bounds), F.lit(None).cast("long"))
+    share = F.get(shares, F.col("range") + 1).cast("long")
+    ending = F.col("id").eqNullSafe(F.get(ends, F.col("range") + 1)) & (F.col("range") < len(bounds))
+    # the upper 24 bits of the hash, which keep its order
+    part = F.shiftright((F.shiftright("h", 40) + (1 << 23)) * share, 24)
+    ranged = rows.withColumn("range", _range_of(F.col("id"), bounds))
+    return ranged.withColumn("part", F.when(ending, part).otherwise(share - 1)), many
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, fingerprint, next_text, next_fingerprint): each row beside the next by descending id.
 
-    The last row's next is the first. Rows are dealt out by ranges of the id, so
-    no task holds more than a range. The first row of the following range is
-    added to each range as its last row: one row a range, and the ranges are as
-    many as shuffle partitions, which bounds what is broadcast. Null text counts
-    as empty, null ids come last, equal ids are ordered by text, and a single
-    row is its own next.
+    The last row's next is the first. Rows are dealt out by ranges of the id, as
+    many as the text's bytes ask for, so no task holds more than a few ranges,
+    whatever the session's number of partitions; ids that repeat very often, and
+    many null ids, are several ranges. The first row of the following range is
+    added to each as its last row. What is collected and broadcast is one row a
+    range. Null text counts as empty, null ids come last, equal ids are ordered
+    by a hash of their text, and a single row is its own next.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    bounds = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 10_000)).first()[0]
-    ranged = rows.withColumn("range", _range_of(F.col("id"), sorted(set(bounds or []))))
-    tops = sorted(((r["range"], r["top"]) for r in ranged.groupBy("range").agg(F.max("id").alias("top")).collect()), reverse=True)
-    follow = [(here, tops[(k + 1) % len(tops)][1]) for k, (here, _) in enumerate(tops)]
-    follow = F.broadcast(spark.createDataFrame(follow, "after int, head long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ranged, many = _slots(rows)
+    tops = ranged.groupBy("range", "part").agg(F.max(F.struct("id", F.bitwise_not("h").alias("h"))).alias("top")).collect()
+    tops.sort(key=lambda r: (-r["range"], r["part"]))
+    follow = [(t["range"], t["part"], after["top"]["id"], ~after["top"]["h"]) for t, after in zip(tops, tops[1:] + tops[:1])]
+    follow = F.broadcast(spark.createDataFrame(follow, "range int, part long, head long, head_h long"))
     heads = (
-        rows.join(follow, F.col("id").eqNullSafe(F.col("head")))
-        .groupBy(F.col("after").alias("range"))
+        rows.join(follow, F.col("id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")))
+        .groupBy("range", "part")
         .agg(F.min("text").alias("text"))
-        .select(F.lit(None).cast("long").alias("id"), "text", "range", F.lit(1).alias("edge"))
+        .select(F.lit(None).cast("long").alias("id"), "text", F.lit(None).cast("long").alias("h"), "range", "part", F.lit(1).alias("edge"))
     )
     both = ranged.withColumn("edge", F.lit(0)).unionByName(heads).withColumn("fingerprint", digest(canonical(F.col("text"))))
-    inside = Window.partitionBy("range").orderBy("edge", F.col("id").desc_nulls_last(), "text")
+    inside = Window.partitionBy("range", "part").orderBy("edge", F.col("id").desc_nulls_last(), "h", "text")
     return (
-        both.withColumn("next_text", F.lead("text").over(inside))
+        both.repartition(many, "range", "part")
+        .withColumn("next_text", F.lead("text").over(inside))
         .withColumn("next_fingerprint", F.lead("fingerprint").over(inside))
         .where("edge = 0")
         .select("id", "text", "fingerprint", "next_text", "next_fingerprint")

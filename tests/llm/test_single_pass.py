@@ -134,6 +134,23 @@ def test_fingerprint_edges(edges):
     assert [r["next_text"] for r in fingerprints.with_next(edges.where("doc_id = 2")).collect()] == [""]
 
 
+def test_next_of_ids_that_repeat_very_often(spark, monkeypatch):
+    """One id and null hold most rows: their rows are several ranges, and all rows are still one circle by descending id."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 100)
+    ids = [7] * 120 + [None] * 80 + list(range(-20, 30)) + [2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    slots = fingerprints._slots(df.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("h")))[0].groupBy("range", "part").count()
+    assert slots.agg(F.max("count")).first()[0] < 40
+    rows = {r["text"]: r for r in fingerprints.with_next(df).collect()}
+    assert len(rows) == len(ids)
+    at, seen = next(t for t, r in rows.items() if r["id"] == 2**63 - 1), []
+    for _ in ids:
+        seen.append(rows[at]["id"])
+        assert rows[at]["next_fingerprint"] == rows[rows[at]["next_text"]]["fingerprint"]
+        at = rows[at]["next_text"]
+    assert seen == sorted([i for i in ids if i is not None], reverse=True) + [None] * 80
+
+
 def plain_probability(net, text):
     """The network written out: bytes, chunks of two steps, segments, mean and maximum."""
     steps = max(-(-len(text) // quality.STEP), 1)
